@@ -21,7 +21,7 @@ from recollect.llm import _text
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: Most of the word characters that may lie in n-grams found twice or more, by n.
-GRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+GRAM_LIMITS = {5: 0.35, 6: 0.34, 7: 0.33, 8: 0.32, 9: 0.31, 10: 0.30}
 #: Most of the word characters that may lie in lines equal to an earlier line.
 LINE_CHARS_LIMIT = 0.30
 SYMBOLS = b"#*$%&|<>"
