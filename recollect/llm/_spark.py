@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 def buckets_for(df: DataFrame, blow_up: float, target_bytes: int) -> int:
     """Buckets of about target_bytes for blow_up times the estimated size of df, never fewer than the shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return int(max(least, min(size * blow_up / target_bytes, 1 << 22)))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, chat, rules, simhash
+from recollect.llm import bpe, chat, rules, simhash, superkmer
 from recollect.llm._spark import table
 
 
@@ -24,11 +24,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(chat.control_conversation(spark)))
 
 
+def op9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.dedup_windows(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept_text", "kept_sha256")
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_simhash, op8_chat, op10_rules)}
+QUERIES = {f.__name__: f for f in (op5_bpe, op6_simhash, op8_chat, op9_windows, op10_rules)}
 
 _CHAT_SQL = """
 WITH turns AS (
@@ -57,4 +61,23 @@ def _escaped_sql(column: str) -> str:
     return column
 
 
-SQL = {"op8_chat": _CHAT_SQL.format(escaped=_escaped_sql("text"))}
+_WINDOWS_SQL = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM words WHERE len(w) >= 20
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 19), ' ')) AS h FROM starts
+), ordered AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ordered WHERE k > 1
+), listed AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string([x FOR x, i IN w IF NOT coalesce(list_contains(ps, i), false)], ' ')) AS kept_sha256
+FROM words LEFT JOIN listed USING (doc_id)
+"""
+
+SQL = {"op9_windows": _WINDOWS_SQL, "op8_chat": _CHAT_SQL.format(escaped=_escaped_sql("text"))}
