@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, chat, rules, simhash, superkmer
+from recollect.llm import bpe, chat, rules, simhash, suffix_dedup, superkmer
 from recollect.llm._spark import table
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,7 +36,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_simhash, op8_chat, op9_windows, op10_rules)}
+QUERIES = {f.__name__: f for f in (op3_substrings, op5_bpe, op6_simhash, op8_chat, op9_windows, op10_rules)}
 
 _CHAT_SQL = """
 WITH turns AS (
