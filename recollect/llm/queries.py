@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, chat, rules, simhash, suffix_dedup, superkmer
+from recollect.llm import bpe, chat, decontaminate, rules, simhash, suffix_dedup, superkmer
 from recollect.llm._spark import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -36,7 +41,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substrings, op5_bpe, op6_simhash, op8_chat, op9_windows, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_substrings, op5_bpe, op6_simhash, op8_chat, op9_windows, op10_rules)}
 
 _CHAT_SQL = """
 WITH turns AS (
@@ -84,4 +89,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
 FROM words LEFT JOIN listed USING (doc_id)
 """
 
-SQL = {"op9_windows": _WINDOWS_SQL, "op8_chat": _CHAT_SQL.format(escaped=_escaped_sql("text"))}
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_CONTAMINATION_SQL = f"""
+WITH words AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents
+), items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS_SQL} AS w FROM benchmark
+), item_starts AS (
+  SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0
+), item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM item_starts
+), lengths AS (SELECT DISTINCT n FROM item_windows
+), doc_starts AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n
+), doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM doc_starts
+), hits AS (
+  SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, g)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+SQL = {"op1_decontaminate": _CONTAMINATION_SQL, "op9_windows": _WINDOWS_SQL, "op8_chat": _CHAT_SQL.format(escaped=_escaped_sql("text"))}
