@@ -133,32 +133,52 @@ def training_rows(documents: DataFrame) -> DataFrame:
     return usable.where((place < share[F.col("lang")]) & (F.octet_length("text") <= TRAIN_BYTES)).orderBy(place, "doc_id", F.xxhash64("text")).limit(2 * each * len(counts)).select("text", "lang")
 
 
+def fitted(documents: DataFrame) -> Model | None:
+    """The model of a sample of documents (doc_id, text, lang); None where nothing can be learned."""
+    rows = training_rows(documents.select("doc_id", "text", "lang")).toArrow()
+    taught = [(t.encode(), x) for t, x in zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist()) if _LETTER.search(t)]
+    return Model.fit([t for t, _ in taught], [x for _, x in taught]) if taught else None
+
+
+def predictions(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of a column of texts."""
+    buf, offs = _text.flat(texts)
+    raw, rows = buf.tobytes(), len(offs) - 1
+    lang, score = np.full(rows, UNDETERMINED, dtype=object), np.zeros(rows)
+    for i, j in _text.slices(offs):
+        if model is None or offs[i] == offs[j]:
+            continue
+        scores = model.scores(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]).astype(np.float64)
+        best = scores.argmax(axis=1)
+        lang[i:j] = np.array(model.languages, dtype=object)[best]
+        score[i:j] = np.clip((scores[np.arange(j - i), best] + 1) / 2, 0, 1)
+    for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+        if not _LETTER.search(raw[a:b].decode()):
+            lang[k], score[k] = UNDETERMINED, 0.0
+    return lang, score
+
+
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of documents (doc_id, text, lang)."""
-    rows = training_rows(documents.select("doc_id", "text", "lang")).toArrow()
-    texts, labels = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
-    taught = [(t.encode(), x) for t, x in zip(texts, labels) if _LETTER.search(t)]
-    model = Model.fit([t for t, _ in taught], [x for _, x in taught]) if taught else None
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(fitted(documents))
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            buf, offs = _text.flat(batch.column(2))
-            raw = buf.tobytes()
-            for i, j in _text.slices(offs):
-                part, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                lang, score = np.full(j - i, UNDETERMINED, dtype=object), np.zeros(j - i)
-                if model is not None and len(part):
-                    scores = model.scores(part, at)
-                    best = scores.argmax(axis=1)
-                    lang = np.array(model.languages, dtype=object)[best]
-                    score = np.clip((scores[np.arange(j - i), best].astype(np.float64) + 1) / 2, 0, 1)
-                for k in range(j - i):
-                    a, b = int(offs[i + k]), int(offs[i + k + 1])
-                    if not _LETTER.search(raw[a:b].decode()):
-                        lang[k], score[k] = UNDETERMINED, 0.0
-                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = predictions(shared.value, batch.column(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(documents: DataFrame, least_score: float) -> DataFrame:
+    """The rows of documents, all columns, whose language is determined with a score of least_score or more."""
+    shared = documents.sparkSession.sparkContext.broadcast(fitted(documents))
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            lang, score = predictions(shared.value, batch.column(at))
+            yield batch.filter(pa.array((lang != UNDETERMINED) & (score >= least_score)))
+
+    return documents.mapInArrow(run, documents.schema)
