@@ -40,9 +40,8 @@ class Words:
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
         self.buf = _text.LOWER[buf]
-        self.starts, self.ends, self.woffs = _text.word_bounds(self.buf, offs, _text.ALNUM_WORD)
+        self.starts, self.ends, self.woffs, self.hash = _text.hashed_words(self.buf, offs, _text.ALNUM_WORD)
         self.owner = _text.owners(self.woffs)
-        self.hash = _text.range_hashes(self.buf, self.starts, self.ends)
 
     def whole(self, first: np.ndarray, n: int) -> np.ndarray:
         """Those of `first` from which n words lie in one text."""
@@ -167,21 +166,38 @@ _HIT_SCHEMA = "row_id long, row_hash long, span_blob binary, items array<string>
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of documents, in the columns of SCHEMA; items in string order."""
-    rows = keyed(documents)
-    sc = rows.sparkSession.sparkContext
-    found = None
+    sc = documents.sparkSession.sparkContext
+    rows = found = None
     for n_blocks, block in _benchmarks(benchmark):
         shared = sc.broadcast(block)
         if n_blocks == 1:
-            return rows.mapInArrow(lambda batches, b=shared: _screen(batches, b.value), SCHEMA)
+            chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            return chosen.mapInArrow(lambda batches, b=shared: _screen(batches, b.value), SCHEMA)
+        rows = keyed(documents) if rows is None else rows
         part = rows.mapInArrow(lambda batches, b=shared: _spans(batches, b.value), _HIT_SCHEMA)
         found = part if found is None else found.unionByName(part)
     per_row = found.groupBy("row_id", "row_hash").agg(F.collect_list("span_blob").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return rows.join(per_row, ["row_id", "row_hash"], "left").select("doc_id", "text", "spans", "items").mapInArrow(_join_blocks, SCHEMA)
 
 
-def _blocks_of(batch: pa.RecordBatch):
-    buf, offs = _text.flat(batch.column(batch.schema.get_field_index("text")))
+def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents, all columns, that hold no window of the benchmark."""
+    sc, at = documents.sparkSession.sparkContext, documents.columns.index("text")
+
+    def run(batches, shared):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for i, _, docs in _blocks_of(batch, at):
+                clean[i + docs.owner[shared.value.hits(docs)[0]]] = False
+            yield batch.filter(pa.array(clean))
+
+    for _, block in _benchmarks(benchmark):  # what one block leaves is screened for the next
+        documents = documents.mapInArrow(lambda batches, b=sc.broadcast(block): run(batches, b), documents.schema)
+    return documents
+
+
+def _blocks_of(batch: pa.RecordBatch, column: int = 1):
+    buf, offs = _text.flat(batch.column(column))
     for i, j in _text.slices(offs):
         yield i, j, Words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
 
@@ -201,7 +217,7 @@ def _screen(batches, benchmark: Benchmark):
 def _spans(batches, benchmark: Benchmark):
     ids = np.array(benchmark.ids, dtype=object)
     for batch in batches:
-        row_id, row_hash = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("row_id", "row_hash"))
+        row_id, row_hash = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         for i, _, docs in _blocks_of(batch):
             first, end, item = benchmark.hits(docs)
             row = docs.owner[first]
