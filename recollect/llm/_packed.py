@@ -29,7 +29,7 @@ class Packer:
         return self.size >= FLUSH_BYTES
 
     def batch(self) -> pa.RecordBatch:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         buckets, payloads = [], []
         for bucket, parts in self.held.items():
             arrays = [np.concatenate(x) for x in zip(*(a for a, _ in parts))]

@@ -145,6 +145,23 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def hashed_words(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_bounds and the hashes of the words, found in slices so that arrays per byte stay small."""
+    starts, ends, counts, hashes = [], [], [], []
+    for i, j in slices(offsets):
+        part = buf[offsets[i] : offsets[j]]
+        a, b, w = word_bounds(part, offsets[i : j + 1] - offsets[i], member)
+        hashes.append(range_hashes(part, a, b))
+        starts.append(a + offsets[i])
+        ends.append(b + offsets[i])
+        counts.append(np.diff(w))
+    if not starts:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(1, np.int64), np.zeros(0, np.uint64)
+    woffs = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    return np.concatenate(starts), np.concatenate(ends), woffs, np.concatenate(hashes)
+
+
 def owners(offsets: np.ndarray) -> np.ndarray:
     """The row of every item, from item offsets."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

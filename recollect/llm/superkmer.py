@@ -30,8 +30,8 @@ from recollect.llm._spark import buckets_for, keyed, with_spans
 
 WINDOW = 20
 GRAM = 4
-BUCKET_BYTES = 8 << 20
-BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 6 << 20
+BLOCK_BYTES = 1 << 20
 #: One document in so many is looked at for frequent minimisers; as often in the sample
 #: makes one frequent; and at most so many are routed singly.
 SAMPLE_ONE_IN, FREQUENT, MOST_FREQUENT = 64, 64, 100_000
@@ -41,8 +41,7 @@ class Block:
     """Words of some texts, joined by single spaces, one text per line."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
-        self.starts, self.ends, self.woffs = _text.word_bounds(buf, offs, _text.NON_SPACE)
-        self.buf = buf
+        self.starts, self.ends, self.woffs, self.hash = _text.hashed_words(buf, offs, _text.NON_SPACE)
         self.owner = _text.owners(self.woffs)
 
     def windows(self, width: int) -> np.ndarray:
@@ -89,9 +88,9 @@ def _after(a: np.ndarray, b: np.ndarray, row_id: np.ndarray, start: np.ndarray)
     return (row_id[a] > row_id[b]) | ((row_id[a] == row_id[b]) & (start[a] > start[b]))
 
 
-def _minimisers(block: Block, word_hash: np.ndarray, window: int) -> np.ndarray:
+def _minimisers(block: Block, window: int) -> np.ndarray:
     """The minimiser of every window, by first word; windows across texts have one too, to be ignored."""
-    return _text.sliding_min(_text.gram_hashes(word_hash, GRAM), window - GRAM + 1)
+    return _text.sliding_min(_text.gram_hashes(block.hash, GRAM), window - GRAM + 1)
 
 
 def _runs(minimiser: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +112,7 @@ def frequent_minimisers(rows: DataFrame, window: int) -> np.ndarray:
             for i, j in _text.slices(offs, BLOCK_BYTES):
                 text, at = normalised(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 block = Block(text[: at[-1]], at)
-                word_hash = _text.range_hashes(block.buf, block.starts, block.ends)
-                minimiser = _minimisers(block, word_hash, window)
+                minimiser = _minimisers(block, window)
                 head, _ = _runs(minimiser, block.windows(window), block.owner)
                 value, n = np.unique(minimiser[head], return_counts=True)
                 yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
@@ -133,7 +131,6 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     def pack(batches):
         packer, often = _packed.Packer(), frequent.value
         for batch in batches:
-            batch = batch.take(pa.array(np.argsort(batch.column(1).to_numpy(), kind="stable")))
             row_id, row_hash = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             buf, offs = _text.flat(batch.column(0))
             for i, j in _text.slices(offs, BLOCK_BYTES):
@@ -151,12 +148,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         buf = np.frombuffer(text + bytes(8), dtype=np.uint8)
         offs = np.concatenate(([0], np.flatnonzero(buf == 0x0A) + 1))
         block = Block(buf[: offs[-1]], offs)
-        word_hash = _text.range_hashes(block.buf, block.starts, block.ends)
         first = block.windows(window)
         record = block.owner[first]
         begin = start[record] + first - block.woffs[record]
         at, end = block.starts[first], block.ends[first + window - 1]
-        late, lead = leaders(_text.gram_hashes(word_hash, window)[first], (begin, row_id[record]), _packed.loads8(buf), at, end - at)
+        late, lead = leaders(_text.gram_hashes(block.hash, window)[first], (begin, row_id[record]), _packed.loads8(buf), at, end - at)
         late = late[_after(late, lead, row_id[record], begin)]
         found.append((row_id[record[late]], row_hash[record[late]], begin[late], begin[late] + window))
         return _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
@@ -171,8 +167,7 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
     first = block.windows(window)
     if not len(first):
         return
-    word_hash = _text.range_hashes(block.buf, block.starts, block.ends)
-    whole = _text.gram_hashes(word_hash, window)
+    whole = _text.gram_hashes(block.hash, window)
     owner = block.owner
     begin = np.arange(len(owner)) - block.woffs[owner]  # word number in its text
     low, high = block.starts[first], block.ends[first + window - 1]
@@ -190,7 +185,7 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
     keep = np.ones(len(first), dtype=bool)
     keep[late] = False
     first = first[keep]
-    minimiser = _minimisers(block, word_hash, window)
+    minimiser = _minimisers(block, window)
     single = np.isin(minimiser[first], often) if len(often) else np.zeros(len(first), dtype=bool)
     a, b = _runs(minimiser, first[~single], owner)
     key = minimiser[a]
