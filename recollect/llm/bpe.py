@@ -24,6 +24,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm import _text
+
 LEAF_CHARS = 8192
 FIRST_WINDOW = 64
 #: Narrower than either library's idea of white space, so that both agree on every cut.
@@ -119,7 +121,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, text_c
             )
 
     chosen = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return chosen.mapInArrow(run, f"{id_col} long, ids array<int>, decoded binary")
+    return chosen.mapInArrow(_text.frugal(run), f"{id_col} long, ids array<int>, decoded binary")
 
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -137,4 +139,4 @@ def digests(documents: DataFrame, ranks_path: str, pattern: str, text_col: str =
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     chosen = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return chosen.mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return chosen.mapInArrow(_text.frugal(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -172,12 +172,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = sc.broadcast(block)
         if n_blocks == 1:
             chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            return chosen.mapInArrow(lambda batches, b=shared: _screen(batches, b.value), SCHEMA)
+            return chosen.mapInArrow(_text.frugal(lambda batches, b=shared: _screen(batches, b.value)), SCHEMA)
         rows = keyed(documents) if rows is None else rows
-        part = rows.mapInArrow(lambda batches, b=shared: _spans(batches, b.value), _HIT_SCHEMA)
+        part = rows.mapInArrow(_text.frugal(lambda batches, b=shared: _spans(batches, b.value)), _HIT_SCHEMA)
         found = part if found is None else found.unionByName(part)
     per_row = found.groupBy("row_id", "row_hash").agg(F.collect_list("span_blob").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.join(per_row, ["row_id", "row_hash"], "left").select("doc_id", "text", "spans", "items").mapInArrow(_join_blocks, SCHEMA)
+    return rows.join(per_row, ["row_id", "row_hash"], "left").select("doc_id", "text", "spans", "items").mapInArrow(_text.frugal(_join_blocks), SCHEMA)
 
 
 def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(clean))
 
     for _, block in _benchmarks(benchmark):  # what one block leaves is screened for the next
-        documents = documents.mapInArrow(lambda batches, b=sc.broadcast(block): run(batches, b), documents.schema)
+        documents = documents.mapInArrow(_text.frugal(lambda batches, b=sc.broadcast(block): run(batches, b)), documents.schema)
     return documents
 
 

@@ -168,7 +168,7 @@ def identify(documents: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return chosen.mapInArrow(_text.frugal(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(documents: DataFrame, least_score: float) -> DataFrame:
@@ -181,4 +181,4 @@ def identified(documents: DataFrame, least_score: float) -> DataFrame:
             lang, score = predictions(shared.value, batch.column(at))
             yield batch.filter(pa.array((lang != UNDETERMINED) & (score >= least_score)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(_text.frugal(run), documents.schema)

@@ -190,12 +190,12 @@ def fit(documents: DataFrame) -> dict:
             x = features(part, at, m)
             yield pa.record_batch([pa.array(patterns(m)), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())], names=["pattern", "x"])
 
-    table = documents.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
+    table = documents.mapInArrow(_text.frugal(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     codes, counts = table.column("pattern").to_numpy(), table.column("n").to_numpy()
     if not len(codes):
         return {"codes": np.zeros(0, np.int64), "posterior": np.zeros(0), "w": np.zeros(DIMENSIONS + 4 * BINS), "b": 0.0}
     posterior, theta, share = estimate(codes, counts)
-    rows = _sampled(documents).mapInArrow(sample, "pattern long, x array<float>").toArrow()
+    rows = _sampled(documents).mapInArrow(_text.frugal(sample), "pattern long, x array<float>").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS + 4 * BINS)
     target = posterior[np.searchsorted(codes, rows.column("pattern").to_numpy())]
     w, b = train(x, target) if len(x) else (np.zeros(DIMENSIONS + 4 * BINS), 0.0)
@@ -222,4 +222,4 @@ def classify(documents: DataFrame) -> DataFrame:
             weak = model["posterior"][np.searchsorted(model["codes"], patterns(m))]
             yield pa.record_batch([ids, pa.array(m["n_words"].astype(np.int64)), pa.array(weak), pa.array(s), pa.array(s >= KEEP_FROM)], names=["doc_id", "n_words", "weak_label", "score", "kept"])
 
-    return chosen.mapInArrow(score, "doc_id long, n_words long, weak_label double, score double, kept boolean")
+    return chosen.mapInArrow(_text.frugal(score), "doc_id long, n_words long, weak_label double, score double, kept boolean")

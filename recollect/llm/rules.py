@@ -129,4 +129,4 @@ def quality_rules(documents: DataFrame, text_col: str = "text", id_col: str = "d
                 yield pa.record_batch([cols[k] for k in names], names=names)
 
     chosen = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, SCHEMA)
+    return chosen.mapInArrow(_text.frugal(run), SCHEMA)

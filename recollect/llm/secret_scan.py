@@ -311,7 +311,7 @@ def scan(documents: DataFrame) -> DataFrame:
             yield pa.record_batch(cols, names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, SCHEMA)
+    return chosen.mapInArrow(_text.frugal(run), SCHEMA)
 
 
 def redact(documents: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def redact(documents: DataFrame) -> DataFrame:
                 out.append("".join([*parts, text[end:]]) if known else None)
             yield batch.set_column(at, "text", pa.array(out, batch.schema.field(at).type))
 
-    out = documents.mapInArrow(run, documents.schema)
+    out = documents.mapInArrow(_text.frugal(run), documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

@@ -63,7 +63,7 @@ def fingerprints(documents: DataFrame, text_col: str = "text", id_col: str = "do
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
     chosen = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return chosen.mapInArrow(run, f"{id_col} long, fp long")
+    return chosen.mapInArrow(_text.frugal(run), f"{id_col} long, fp long")
 
 
 def trie_pairs(sorted_keys: np.ndarray, fixed_bits: int, budget: int):

@@ -118,7 +118,7 @@ def frequent_minimisers(rows: DataFrame, window: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64("row_id", "row_hash"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
-    counts = sample.mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(_text.frugal(count), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).select("value").toArrow()
     return np.sort(top.column("value").to_numpy().astype(np.int64).view(np.uint64))
 
@@ -155,9 +155,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         late, lead = leaders(_text.gram_hashes(block.hash, window)[first], (begin, row_id[record]), _packed.loads8(buf), at, end - at)
         late = late[_after(late, lead, row_id[record], begin)]
         found.append((row_id[record[late]], row_hash[record[late]], begin[late], begin[late] + window))
-        return _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
+        out = _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
+        _text.release()
+        return out
 
-    packed = rows.select("text", "row_id", "row_hash").mapInArrow(pack, "bucket int, payload binary")
+    packed = rows.select("text", "row_id", "row_hash").mapInArrow(_text.frugal(pack), "bucket int, payload binary")
     return packed.groupBy("bucket").applyInArrow(settle, "row_id long, row_hash long, span_blob binary")
 
 
@@ -229,4 +231,4 @@ def dedup_windows(documents: DataFrame, window: int = WINDOW, digest: bool = Fal
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     rows = keyed(documents)
-    return with_spans(rows, repeated_spans(rows, window)).mapInArrow(finish, SCHEMA)
+    return with_spans(rows, repeated_spans(rows, window)).mapInArrow(_text.frugal(finish), SCHEMA)
