@@ -24,6 +24,7 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), dtype=np.int64)
     if n_symbols > FEW_NAMES:
         return _doubling(text, depth)
+    text = text.astype(np.uint8 if n_symbols <= 256 else np.uint16)  # sorted by counting, and read fast
     smaller = _smaller_than_next(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(lms) < 2:
@@ -112,7 +113,7 @@ def _deal(text: np.ndarray, scanned: np.ndarray, waiting: list[list[np.ndarray]]
         return
     order = np.argsort(symbol, kind="stable")
     before, symbol = before[order], symbol[order]
-    cuts = [0, *(np.flatnonzero(np.diff(symbol)) + 1).tolist(), len(symbol)]
+    cuts = [0, *(np.flatnonzero(symbol[1:] != symbol[:-1]) + 1).tolist(), len(symbol)]
     for x, y in zip(cuts, cuts[1:]):
         waiting[symbol[x]].append(before[x:y])
 
@@ -121,12 +122,13 @@ def _doubling(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ranked by their first 1, 2, 4, ... symbols until all differ or depth is reached."""
     n = len(text)
     rank, h = text.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while h < depth:
         key = rank * (n + 2)
         key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.diff(key[order]) != 0
+        order = np.argsort(key)
+        in_order = key[order]
+        fresh = in_order[1:] != in_order[:-1]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(fresh)))
         if fresh.all():

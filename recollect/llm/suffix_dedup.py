@@ -34,8 +34,8 @@ from recollect.llm.suffix_array import permuted_common_prefixes, suffix_array
 WINDOW = 400
 GRAM = 16
 BLOCK_BYTES = 1 << 20
-BUCKET_BYTES = 8 << 20
-SHARD_BYTES = 1 << 20
+BUCKET_BYTES = 6 << 20
+SHARD_BYTES = 1 << 19
 #: Windows in a group of a frequent anchor.
 GROUP_WINDOWS = 32
 SAMPLE_ONE_IN, FREQUENT, MOST_FREQUENT = 64, 64, 100_000
@@ -90,7 +90,7 @@ def frequent_anchors(rows: DataFrame, window: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64("row_id", "row_hash"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
-    counts = sample.mapInArrow(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(_text.frugal(count), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).select("value").toArrow()
     return np.sort(top.column("value").to_numpy().astype(np.int64).view(np.uint64))
 
@@ -141,9 +141,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         sent = ~known
         for record, low, high in repeats(strings, size[sent], value[sent], kind[sent] == 2, window):
             found.append((row_id[sent][record], row_hash[sent][record], start[sent][record] + low, start[sent][record] + high))
-        return _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
+        out = _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
+        _text.release()
+        return out
 
-    packed = rows.select("text", "row_id", "row_hash").mapInArrow(pack, "bucket int, payload binary")
+    packed = rows.select("text", "row_id", "row_hash").mapInArrow(_text.frugal(pack), "bucket int, payload binary")
     return packed.groupBy("bucket").applyInArrow(settle, "row_id long, row_hash long, span_blob binary")
 
 
@@ -288,4 +290,4 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, digest: bool =
             )
 
     rows = keyed(documents)
-    return with_spans(rows, repeated_spans(rows, window)).mapInArrow(finish, SCHEMA.format(kind="string" if digest else "binary"))
+    return with_spans(rows, repeated_spans(rows, window)).mapInArrow(_text.frugal(finish), SCHEMA.format(kind="string" if digest else "binary"))
