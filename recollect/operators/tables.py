@@ -91,7 +91,7 @@ def invalidated(cache: DataFrame, changed: DataFrame) -> DataFrame:
     path, own = F.col("changed_path"), F.coalesce(F.col("path_filter"), F.lit(""))
     unfiltered = (own == "") & (F.coalesce(F.col("glob_filter"), F.lit("")) == "")
     by_path = (own != "") & ((path == own) | path.startswith(F.concat(F.regexp_replace(own, "/+$", ""), F.lit("/"))))
-    by_glob = (F.coalesce(F.col("glob_filter"), F.lit("")) != "") & (path.rlike(glob) | F.element_at(F.split(path, "/"), -1).rlike(glob))
+    by_glob = (F.coalesce(F.col("glob_filter"), F.lit("")) != "") & (F.rlike(path, glob) | F.rlike(F.element_at(F.split(path, "/"), -1), glob))
     hit = path.isNull() | unfiltered | by_path | by_glob
     return cache.join(changed, "project_id").where(hit).select(*cache.columns).distinct()
 

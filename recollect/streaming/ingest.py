@@ -28,9 +28,6 @@ def _anchor(lines: list[str], up_to: int) -> str:
 
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The slices of one session's snapshots, the shortest first; a snapshot that brings nothing new gives none."""
-    if state.hasTimedOut:
-        state.remove()
-        return
     count, anchor = state.get if state.exists else (0, "")
     out = []
     texts = sorted((t for b in batches for t in b["text"].dropna()), key=lambda t: (t.count("\n"), t))
@@ -43,16 +40,14 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         out.append((*key, grown, "\n".join(lines[start:]), "\n".join(lines[max(0, start - OVERLAP_LINES) if grown else 0 :]), len(lines)))
         count, anchor = len(lines), _anchor(lines, len(lines))
         state.update((count, anchor))
-    if state.exists:
-        state.setTimeoutDuration(30 * 24 * 3600 * 1000)
     if out:
         yield pd.DataFrame(out, columns=["project_id", "session_id", "is_delta", "stored", "extracted", "new_line_count"])
 
 
 def slices(snapshots: DataFrame) -> DataFrame:
-    """What is new of each session, by its cursor; cursors of sessions silent for thirty days go."""
+    """What is new of each session, by its cursor: a line count and a hash per session are kept."""
     keyed = snapshots.select("project_id", "session_id", "text").groupBy("project_id", "session_id")
-    return keyed.applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 class MemorySink:

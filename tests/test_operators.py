@@ -134,7 +134,7 @@ def test_window_reach(spark):
     rows = [("s", k, "user", t, c, False) for k, (t, c) in enumerate([("a", False), ("it is so because", False), ("one.", False), ("two.", False), ("mid.", False), ("x = 1", True), ("y = 2", True), ("z = 3", True), ("end.", False)])]
     df = spark.createDataFrame(rows, "session_id string, idx int, role string, text string, is_code boolean, list_item boolean")
     around = {r.idx: r.around for r in extract.windows(df).collect()}
-    assert around[4] == ["a", "it is so because", "one.", "two.", "x = 1", "y = 2", "z = 3"] and around[8] == ["y = 2", "z = 3"]
+    assert around[4] == ["a", "it is so because", "one.", "two.", "x = 1", "y = 2", "z = 3"] and around[8] == ["x = 1", "y = 2", "z = 3"]
 
 
 # --- merging
@@ -320,7 +320,7 @@ def test_prohibitions(spark):
     rows = [
         (1, 1, "CONSTRAINT_HARD", "save amount as float value column", "", "Never save amount values as float", "user_stated", None),
         (1, 2, "CONSTRAINT_HARD", "save amount as float value column", "", "Amounts are float value columns saved", "user_stated", None),
-        (1, 3, "APPROACH_ABANDONED_DO_NOT_RETRY", "save amount as float value column", "", "float amounts saved across workers", "llm", None),
+        (1, 3, "APPROACH_ABANDONED_DO_NOT_RETRY", "save amount as float value column", "", "float amount columns across workers", "llm", None),
         (1, 4, "APPROACH_ABANDONED_DO_NOT_RETRY", "save amount as float value column", "", "unrelated amount", "llm", 0.7),
     ]
     hits = spark.createDataFrame(rows, "query_id int, id int, event_type string, diff string, subject string, description string, authority string, cosine double")

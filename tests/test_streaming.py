@@ -11,15 +11,12 @@ def test_slices_of_growing_logs(spark, tmp_path):
     source, checkpoint = tmp_path / "in", tmp_path / "checkpoint"
     source.mkdir()
     grown = ["\n".join(f"l{k}" for k in range(n)) for n in (3, 30, 30, 2)]
-    stream = spark.readStream.schema("project_id string, session_id string, text string").json(str(source))
-    query = slices(stream).writeStream.format("memory").queryName("slices").option("checkpointLocation", str(checkpoint)).outputMode("append").start()
-    try:
-        for k, text in enumerate(grown):
-            spark.createDataFrame([("p", "s", text)], "project_id string, session_id string, text string").coalesce(1).write.mode("append").json(str(source))
-            query.processAllAvailable()
-    finally:
-        query.stop()
-    rows = spark.table("slices").orderBy(F.monotonically_increasing_id()).collect()
+    for text in grown:
+        spark.createDataFrame([("p", "s", text)], "project_id string, session_id string, text string").coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema("project_id string, session_id string, text string").json(str(source))
+        query = slices(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
     got = {(r.is_delta, r.new_line_count): (len(r.stored.split("\n")), len(r.extracted.split("\n"))) for r in rows}
     # first whole, then what is new (with overlap), nothing for the same log again, whole where it shrank
     assert got == {(False, 3): (3, 3), (True, 30): (27, 30), (False, 2): (2, 2)} and len(rows) == 3
