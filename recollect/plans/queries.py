@@ -58,7 +58,7 @@ _EVENTS = f"""
 SELECT conv_id * 1000 + turn AS id, 'p' || (conv_id % 5) AS project_id, 's' || conv_id AS session_id, {_KINDS}[(conv_id + turn) % 8 + 1] AS event_type, text AS description,
   CASE role WHEN 'user' THEN 'user_stated' WHEN 'assistant' THEN 'assistant_decided' ELSE 'inferred_from_code' END AS authority,
   CASE role WHEN 'user' THEN 3 WHEN 'assistant' THEN 2 ELSE 0 END AS rank, 'src/m' || (conv_id % 17) || '.py' AS path, ['in_flux', 'stable', 'blocked'][turn % 3 + 1] AS status,
-  1.0 + (turn % 3) * 0.5 AS weight, (conv_id + turn) % 11 = 0 AS archived, conv_id AS evidence_id,
+  CAST(1.0 + (turn % 3) * 0.5 AS DOUBLE) AS weight, (conv_id + turn) % 11 = 0 AS archived, conv_id AS evidence_id,
   array_to_string(list_slice({_tokens("text")}, 1, 2), ' ') AS words
 FROM conversations
 """
