@@ -92,8 +92,8 @@ def _any_of(c: Column, markers) -> Column:
     return c.rlike("|".join(rf"\Q{m}\E" for m in markers))
 
 
-def constraint_class(confidence: Column, role: Column, description: Column, mentions: Column | None = None) -> Column:
-    """Hard or soft, by additive evidence; explicit marks come first."""
+def constraint_class(confidence: Column, role: Column, description: Column, mentions: Column | None = None, marks: tuple[str, str] = (HARD_MARK, SOFT_MARK)) -> Column:
+    """Hard or soft, by additive evidence; explicit marks (of hard, of soft) in the text come first."""
     d = F.lower(description)
     score = confidence.cast("double")
     if mentions is not None:
@@ -105,7 +105,7 @@ def constraint_class(confidence: Column, role: Column, description: Column, ment
     capped = (confidence < 1.0) & ((role == "assistant") | ((role == "user") & ~d.rlike(DEONTIC)))
     score = F.when(capped, F.least(score, F.lit(0.80))).otherwise(score)
     scored = F.when(score >= HARD_FROM, "CONSTRAINT_HARD").otherwise("CONSTRAINT_SOFT")
-    return F.when(description.contains(HARD_MARK), "CONSTRAINT_HARD").when(description.contains(SOFT_MARK), "CONSTRAINT_SOFT").otherwise(scored)
+    return F.when(description.contains(marks[0]), "CONSTRAINT_HARD").when(description.contains(marks[1]), "CONSTRAINT_SOFT").otherwise(scored)
 
 
 def role_authority(role: Column) -> Column:
