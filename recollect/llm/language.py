@@ -19,10 +19,9 @@ by that letter.  Extra columns, and those with names like the result's, are not
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ RIDGE = 1e-2
 GRAMS = (1, 2, 3, 4)
 #: Texts scored in one product.
 SCORE_ROWS = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 #: Byte classes: letters by themselves, anything else in ASCII one class, other bytes by their low five bits.
 CLASS = np.zeros(256, dtype=np.int64)

@@ -19,7 +19,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns carry names that operators use themselves.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, row_id string, kept string, fp string"
-ODD = [None, "", " \n\t ", "é", "x" * 50_000, "ab " * 9000, "'s 's\n\n  12a\x1c\x85b", "\U0001f600   ok", "- " * 40]
+ODD = [None, "", " \n½ ", "é", "x" * 50_000, "ab " * 9000, "'s 's\n\n  12a\x1c\x85b", "\U0001f600   ok", "- " * 40]
 
 
 def frame(spark, texts, langs=None):
