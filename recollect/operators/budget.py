@@ -65,12 +65,12 @@ def greedy_fill(events: DataFrame, budget: int, by: str = "project_id") -> DataF
     used = chosen.groupBy(by).agg(F.sum("cost").alias("_used"))
     rest = own.where("not mandatory").join(chosen.where("phase = 'component'").select(by, "id"), [by, "id"], "left_anti").join(used, by, "left")
     rest = rest.withColumn("_left", F.lit(budget) - F.coalesce("_used", F.lit(0))).where(F.col("cost") <= F.col("_left"))
-    filled = _pick(rest, F.struct((-F.col("weight")).alias("w"), "id", "cost"), None, by)
+    filled = _pick(rest, F.struct((-F.col("weight")).alias("w"), "id", "cost"), None, by, budget)
     return chosen.select(by, "id", "phase").unionByName(filled.select(by, "id").withColumn("phase", F.lit("filled")))
 
 
-def _pick(rows: DataFrame, order: Column, limit: int | None, by: str, most: int = 100_000) -> DataFrame:
-    """The rows that `fits` chooses in an order; limit None: what the column _left says."""
+def _pick(rows: DataFrame, order: Column, limit: int | None, by: str, most: int = 0) -> DataFrame:
+    """The rows that `fits` chooses in an order; limit None: what the column _left says, `most` at most."""
     room = F.lit(limit).cast("long") if limit is not None else F.col("_left").cast("long")
     place = F.row_number().over(Window.partitionBy(by, "cost").orderBy(order))
     bounded = rows.withColumn("_room", room).withColumn("_place", place).where((F.col("_place") <= (limit or most)) & (F.col("_place") * F.col("cost") <= F.col("_room")))

@@ -17,7 +17,7 @@ BUCKETS = {
     "CONSTRAINT_HARD": "hard", "APPROACH_ABANDONED_DO_NOT_RETRY": "graveyard", "COMPONENT_STATUS": "component", "DECISION": "decision",
     "CONSTRAINT_SOFT": "decision", "APPROACH_ABANDONED": "decision", "THREAD_OPEN": "thread",
 }
-ONE_WORD_JACCARD, SAME_VALUE_JACCARD, LINEAGE, LINEAGE_CHARS = 0.3, 0.85, 2, 80
+ONE_WORD_JACCARD, SAME_VALUE_JACCARD, LINEAGE_CHARS = 0.3, 0.85, 80
 THREAD_ORDER = {"user_stated": 0, "assistant_answer_to_user_question": 1, "llm": 2, "assistant_decided": 3, "inferred_from_code": 4}
 CONFIRMING = ("user_stated", "assistant_decided", "llm")
 
@@ -51,25 +51,19 @@ def consolidated(events: DataFrame) -> DataFrame:
     one_word = ~F.col("decision_key").contains(" ")
     belongs = (F.col("id") == F.col("h.id")) | ~one_word | (jaccard(F.col("_tokens"), F.col("h._tokens")) >= ONE_WORD_JACCARD)
     joined = joined.withColumn("_group", F.when(belongs, F.col("h.id")).otherwise(F.col("id")))
-    # a topic's history is distinct by what was said before it is gathered; the best of each is kept
     totals = joined.groupBy("project_id", "_group").agg(
-        F.sum("mention_count").alias("mention_count"), F.max("weight").alias("weight"), F.count(F.lit(1)).alias("provenance_count"), F.max_by(F.struct(*columns, "_said", "_tokens"), "_order").alias("c")
+        F.sum("mention_count").alias("mention_count"), F.max("weight").alias("weight"), F.count(F.lit(1)).alias("provenance_count"), F.max_by(F.struct(*columns), "_order").alias("c")
     )
-    values = joined.where("_group <> id").groupBy("project_id", "_group", "_said").agg(F.max_by(F.struct("_order", "_tokens", "description", "session_id"), "_order").alias("v"))
-    recent = F.row_number().over(Window.partitionBy("project_id", "_group").orderBy(F.desc("v._order")))
-    values = values.withColumn("_k", recent).where(F.col("_k") <= 64)  # the two that stay are looked for among the latest 64 wordings
-    history = values.groupBy("project_id", "_group").agg(F.sort_array(F.collect_list(F.struct(F.col("v._order").alias("o"), F.col("_said").alias("said"), F.col("v._tokens").alias("tokens"), F.col("v.description").alias("description"), F.col("v.session_id").alias("session_id"))), asc=False).alias("history"))
-    both = totals.join(history, ["project_id", "_group"], "left")
-
-    def keep(acc: Column, x: Column) -> Column:
-        heard = F.exists(acc["said"], lambda s: (s["said"] == x["said"]) | (jaccard(s["tokens"], x["tokens"]) >= SAME_VALUE_JACCARD))
-        full = F.size(acc["lineage"]) >= LINEAGE
-        said = F.struct(x["said"].alias("said"), x["tokens"].alias("tokens"))
-        line = F.struct(F.substring(F.coalesce(x["description"], F.lit("")), 1, LINEAGE_CHARS).alias("description"), x["session_id"].alias("session_id"))
-        return F.when(heard | full, acc).otherwise(F.struct(F.array_append(acc["said"], said).alias("said"), F.array_append(acc["lineage"], line).alias("lineage")))
-
-    start = F.struct(F.array(F.struct(F.col("c._said").alias("said"), F.col("c._tokens").alias("tokens"))).alias("said"), no_lineage.alias("lineage"))
-    lineage = F.when(F.col("history").isNull(), no_lineage).otherwise(F.aggregate("history", start, keep, lambda a: a["lineage"]))
+    # the latest value that says something else than the canonical one, then the latest that says something else than both
+    says_else = lambda said, tokens: (F.col("_said") != said) & (jaccard(F.col("_tokens"), tokens) < SAME_VALUE_JACCARD)
+    other = joined.where((F.col("_group") == F.col("h.id")) & (F.col("id") != F.col("h.id")) & says_else(F.col("h._said"), F.col("h._tokens")))
+    other = other.select("project_id", "_group", "_order", "_said", "_tokens", F.struct(F.substring(F.coalesce("description", F.lit("")), 1, LINEAGE_CHARS).alias("description"), "session_id").alias("line"))
+    latest = lambda rows, name: rows.groupBy("project_id", "_group").agg(F.max_by(F.struct("_order", "_said", "_tokens", "line"), "_order").alias(name))
+    first = latest(other, "a")
+    further = other.join(first, ["project_id", "_group"]).where((F.col("_order") < F.col("a._order")) & says_else(F.col("a._said"), F.col("a._tokens")))
+    second = latest(further, "b")
+    both = totals.join(first, ["project_id", "_group"], "left").join(second, ["project_id", "_group"], "left")
+    lineage = F.when(F.col("a").isNull(), no_lineage).when(F.col("b").isNull(), F.array(F.col("a.line"))).otherwise(F.array(F.col("a.line"), F.col("b.line")))
     merged = both.select(*[F.col(f"c.{c}").alias(c) for c in columns], "mention_count", "weight", "provenance_count", lineage.alias("lineage"))
     return merged.unionByName(loose.select(*merged.columns))
 

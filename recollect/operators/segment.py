@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from recollect.functions.statements import LABEL_FIRST
 
-# Fixed values.
+# Abbreviations, limits and patterns.
 ABBREVIATIONS = frozenset(
     "e.g. i.e. vs. etc. mr. mrs. ms. dr. prof. sr. jr. inc. ltd. co. fig. approx. dept. est. avg. max. min. no. vol.".split()
 )
 MOST_BYTES = 5 << 20
-
 _CODE = re.compile(r"```.*?```", re.DOTALL)
 _SPEAKER = re.compile(r"^(Human|User|Assistant|Claude)\s*:\s*", re.MULTILINE | re.IGNORECASE)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+\.)\s+(?=\S)")

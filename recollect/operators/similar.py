@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.similarity import jaccard
 from recollect.functions.text import overlap_tokens
+from recollect.plans.checkpoints import cut
 
 
 def token_classes(texts: DataFrame, id_col: str, text_col: str, block: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +48,7 @@ def _posted(ranked: DataFrame, least: float, block: tuple[str, ...]) -> DataFram
 
 def similar_pairs(classes: DataFrame, least: float, block: tuple[str, ...] = ()) -> DataFrame:
     """a, b, similarity of all pairs of classes (a < b) of one block with Jaccard `least` or more."""
-    posted = _posted(_ranked(classes, block), least, block)
+    posted = _posted(cut(_ranked(classes, block)), least, block)  # both sides of the join read it
     left = posted.select(*block, "token", F.col("class_id").alias("a"), F.col("ranked").alias("ta"), F.col("at").alias("ia"))
     right = posted.select(*block, "token", F.col("class_id").alias("b"), F.col("ranked").alias("tb"), F.col("at").alias("ib"))
     n, m = F.size("ta"), F.size("tb")
@@ -64,8 +65,8 @@ def similar_pairs(classes: DataFrame, least: float, block: tuple[str, ...] = ())
 def near_duplicates(texts: DataFrame, id_col: str, text_col: str, least: float = 0.85) -> DataFrame:
     """id, class_id, n_links: each text's class, and how many other classes it is similar to."""
     members, classes = token_classes(texts, id_col, text_col)
-    pairs = similar_pairs(classes, least)
-    ends = pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id")))
+    pairs = similar_pairs(cut(classes), least)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id"))
     links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     return members.join(links, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
