@@ -43,23 +43,27 @@ def _ranked(classes: DataFrame, block: tuple[str, ...]) -> DataFrame:
 def _posted(ranked: DataFrame, least: float, block: tuple[str, ...]) -> DataFrame:
     n = F.size("ranked")
     prefix = n - F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int") + 1
-    return ranked.select("class_id", *block, "ranked", F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("at", "token"))
+    return ranked.select("class_id", *block, n.alias("n"), F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("at", "token"))
 
 
 def similar_pairs(classes: DataFrame, least: float, block: tuple[str, ...] = ()) -> DataFrame:
-    """a, b, similarity of all pairs of classes (a < b) of one block with Jaccard `least` or more."""
-    posted = _posted(cut(_ranked(classes, block)), least, block)  # both sides of the join read it
-    left = posted.select(*block, "token", F.col("class_id").alias("a"), F.col("ranked").alias("ta"), F.col("at").alias("ia"))
-    right = posted.select(*block, "token", F.col("class_id").alias("b"), F.col("ranked").alias("tb"), F.col("at").alias("ib"))
-    n, m = F.size("ta"), F.size("tb")
-    # where this is the first shared token, no more than what follows it can be shared
+    """a, b, similarity of all pairs of classes (a < b) of one block with Jaccard `least` or more.
+
+    Only sizes and places travel with the posted tokens; whole sets meet for the pairs that
+    are left.
+    """
+    posted = cut(_posted(_ranked(classes, block), least, block))  # both sides of the join read it
+    left = posted.select(*block, "token", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = posted.select(*block, "token", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    n, m = F.col("na"), F.col("nb")
+    # a token shared at these places leaves so many to share after it; the first shared one passes this where any does
     rest = F.least(n - F.col("ia"), m - F.col("ib"))
     need = F.ceil((n + m) * F.lit(least / (1 + least)) - F.lit(1e-9))
     near = (m >= n * F.lit(least)) & (n >= m * F.lit(least)) & (rest >= need)
-    met = left.join(right, [*block, "token"]).where((F.col("a") < F.col("b")) & near)
-    # of several shared prefix tokens, the first decides
-    first = F.element_at(F.array_intersect(F.slice("ta", F.lit(1), F.col("ia") + 1), F.slice("tb", F.lit(1), F.col("ib") + 1)), 1) == F.col("token")
-    return met.where(first).withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select(*block, "a", "b", "similarity")
+    met = left.join(right, [*block, "token"]).where((F.col("a") < F.col("b")) & near).select(*block, "a", "b").distinct()
+    tokens = classes.select(F.col("class_id"), F.col("tokens"))
+    whole = met.join(tokens.withColumnsRenamed({"class_id": "a", "tokens": "ta"}), "a").join(tokens.withColumnsRenamed({"class_id": "b", "tokens": "tb"}), "b")
+    return whole.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select(*block, "a", "b", "similarity")
 
 
 def near_duplicates(texts: DataFrame, id_col: str, text_col: str, least: float = 0.85) -> DataFrame:
@@ -86,10 +90,12 @@ def best_matches(texts: DataFrame, items: DataFrame, least: float = 0.6) -> Data
         order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("token"))))
         return each.groupBy(key).agg(F.transform(order, lambda x: x["token"]).alias("ranked")).withColumnRenamed(key, "class_id")
 
-    left = _posted(ranked(t, "id"), least, ()).select("token", F.col("class_id").alias("id"), F.col("ranked").alias("ta"))
-    right = _posted(ranked(i, "item_id"), least, ()).select("token", F.col("class_id").alias("item_id"), F.col("ranked").alias("tb"))
-    near = (F.size("tb") >= F.size("ta") * F.lit(least)) & (F.size("ta") >= F.size("tb") * F.lit(least))
-    met = left.join(right, "token").where(near).withColumn("s", jaccard(F.col("ta"), F.col("tb"))).where(F.col("s") >= least)
+    left = _posted(ranked(t, "id"), least, ()).select("token", F.col("class_id").alias("id"), F.col("n").alias("na"))
+    right = _posted(ranked(i, "item_id"), least, ()).select("token", F.col("class_id").alias("item_id"), F.col("n").alias("nb"))
+    near = (F.col("nb") >= F.col("na") * F.lit(least)) & (F.col("na") >= F.col("nb") * F.lit(least))
+    pairs = left.join(right, "token").where(near).select("id", "item_id").distinct()
+    whole = pairs.join(t.withColumnRenamed("tokens", "ta"), "id").join(i.withColumnRenamed("tokens", "tb"), "item_id")
+    met = whole.withColumn("s", jaccard(F.col("ta"), F.col("tb"))).where(F.col("s") >= least)
     found = met.groupBy("id").agg(F.count_distinct("item_id").alias("n_items"), F.max("s").alias("best"))
     return texts.select("id").join(found, "id", "left").select("id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("best", F.lit(0.0)).alias("best"))
 
