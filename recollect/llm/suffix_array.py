@@ -17,13 +17,17 @@ FEW_NAMES = 1024
 TINY = 32
 
 
-def suffix_array(text: np.ndarray, n_symbols: int, depth: int) -> np.ndarray:
-    """Suffixes of text (integers below n_symbols) in order; those equal in `depth` symbols in any order."""
+def suffix_array(text: np.ndarray, n_symbols: int, depth: int | None = None) -> np.ndarray:
+    """Suffixes of text (integers below n_symbols) in order, whatever `depth` is asked for.
+
+    An order that holds to a depth only isn't that of the suffixes one place on, and
+    `permuted_common_prefixes` would carry prefixes that aren't shared.
+    """
     n = len(text)
     if n <= TINY:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), dtype=np.int64)
     if n_symbols > FEW_NAMES:
-        return _doubling(text, depth)
+        return _doubling(text)
     text = text.astype(np.uint8 if n_symbols <= 256 else np.uint16)  # sorted by counting, and read fast
     smaller = _smaller_than_next(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
@@ -35,7 +39,7 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int) -> np.ndarray:
     in_order = rough[is_lms[rough]]
     names, n_names = _names(text, lms, in_order)
     if n_names < len(lms):
-        in_order = lms[suffix_array(names, n_names, depth // 2 + 1)]
+        in_order = lms[suffix_array(names, n_names)]
     return _induce(text, n_symbols, in_order)
 
 
@@ -118,21 +122,29 @@ def _deal(text: np.ndarray, scanned: np.ndarray, waiting: list[list[np.ndarray]]
         waiting[symbol[x]].append(before[x:y])
 
 
-def _doubling(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ranked by their first 1, 2, 4, ... symbols until all differ or depth is reached."""
+def _doubling(text: np.ndarray) -> np.ndarray:
+    """Suffixes ranked by their first 1, 2, 4, ... symbols until all differ; only those still equal are sorted again.
+
+    A rank is the place of the first suffix of its class, so ranks of other classes stay as they are.
+    """
     n = len(text)
-    rank, h = text.astype(np.int64), 1
-    order = np.argsort(rank)
-    while h < depth:
-        key = rank * (n + 2)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key)
-        in_order = key[order]
-        fresh = in_order[1:] != in_order[:-1]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(fresh)))
-        if fresh.all():
-            break
+    order = np.argsort(text)
+    in_order = text[order]
+    fresh = np.concatenate(([True], in_order[1:] != in_order[:-1], [True]))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
+    live, h = np.flatnonzero(~(fresh[:-1] & fresh[1:])), 1  # places in order whose suffix isn't alone in its class
+    while len(live):
+        at = order[live]
+        key = rank[at] * (n + 1)
+        inside = at + h < n
+        key[inside] += rank[at[inside] + h] + 1
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[live] = at
+        fresh = np.concatenate(([True], key[1:] != key[:-1], [True]))
+        rank[at] = np.maximum.accumulate(np.where(fresh[:-1], live, 0))
+        live = live[~(fresh[:-1] & fresh[1:])]
         h *= 2
     return order
 
@@ -141,8 +153,8 @@ def permuted_common_prefixes(padded: np.ndarray, eights: np.ndarray, order: np.n
     """For every suffix, by place in the text, the bytes (up to `most`) it shares with the suffix before it in order.
 
     padded: the text's bytes with most + 16 spare bytes behind it; eights: its 8-byte loads.
-    A suffix shares one byte less than the suffix to its left at least, so only every
-    `stride`-th is compared from its start.
+    order is that of whole suffixes, so a suffix shares one byte less than the suffix to its
+    left at least, and only every `stride`-th is compared from its start.
     """
     n = len(order)
     before = np.empty(n, dtype=np.int64)

@@ -245,7 +245,7 @@ def _shard_repeats(strings: bytes, offs: np.ndarray, records: np.ndarray, window
     n = len(text)
     padded = np.frombuffer(text + mark * (window + 16), dtype=np.uint8)
     symbols = np.unique(padded[:n], return_inverse=True)
-    order = suffix_array(symbols[1].astype(np.int64), len(symbols[0]), window)
+    order = suffix_array(symbols[1].astype(np.int64), len(symbols[0]))
     shared = permuted_common_prefixes(padded, _packed.loads8(padded), order, window)
     hit = shared >= window
     later = shared[order[1:]] >= window

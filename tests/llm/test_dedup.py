@@ -108,3 +108,22 @@ def test_suffix_array_matches_sorting():
         k = rng.choice([1, 2, 3, 30])
         t = np.array([rng.randrange(k) for _ in range(rng.randint(1, 300))] * rng.choice([1, 3]))
         assert suffix_array(t, k, 1 << 30).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shard_of_many_names_with_long_repeated_sentences(seed):
+    """Over 1024 names, and suffixes equal far beyond the window: every range of a shard against brute force."""
+    rng = random.Random(seed)
+    noise = lambda n: bytes(rng.choice(b"abcdef") for _ in range(n))
+    strings = [noise(2500) + noise(30) * 60 + noise(2500) for _ in range(25)]
+    seen = Counter(s[k : k + 400] for s in strings for k in range(len(s) - 399))
+    offs = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+    got = [np.zeros(len(s), dtype=bool) for s in strings]
+    for r, low, high in zip(*suffix_dedup._shard_repeats(b"".join(strings), offs, np.arange(len(strings)), 400)):
+        got[r][low:high] = True
+    for s, found in zip(strings, got):
+        gone = np.zeros(len(s), dtype=bool)
+        for k in range(len(s) - 399):
+            if seen[s[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        assert np.array_equal(found, gone)
