@@ -7,8 +7,9 @@ embedded, a flag tells candidate from context, one convolution is pooled by maxi
 mean, and a logistic unit gives a score that Platt scaling calibrates.  It is trained here,
 in numpy, on findings that `labelled_findings` writes by rule (secrets of several kinds, and
 look-alikes: paths, versions, identifiers, addresses, dates); its threshold is the largest
-that keeps `MIN_RECALL` of the held-back secrets.  A candidate that reaches it, and touches
-no base span, is added with the kind `found`; base spans stay whatever their score.
+that keeps `MIN_RECALL` of the held-back secrets.  A candidate that reaches it, and of
+which base spans leave a character uncovered, is added whole with the kind `found`, so it may
+overlap base spans; those stay as they are, whatever their score.
 
 Null texts are empty and hold nothing.  Texts are scanned whole, and candidates of any
 length scored whole.  Offsets are code points.  Repeated rows have equal results; extra
@@ -255,6 +256,15 @@ def trained(n: int = TRAIN_FINDINGS, seed: int = SEED) -> Network:
     return network
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether spans, in order of their starts, hold every character of [start, end) between them."""
+    for a, b, _ in spans:
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def scan_text(text: str, raw: bytes, long_run: bool, network: Network) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
     """Base spans (start, end, kind), and all spans with the probabilities of those that are candidates (else -1)."""
     base = base_spans(text, raw, long_run)
@@ -265,7 +275,7 @@ def scan_text(text: str, raw: bytes, long_run: bool, network: Network) -> tuple[
             touching = [s for s in base if s[0] < b and a < s[1]]
             for s in touching:
                 spans[s] = max(spans[s], p)
-            if not touching and p >= network.threshold:
+            if p >= network.threshold and not _covered(a, b, touching):
                 spans[(a, b, 3)] = p
     return base, [(*s, p) for s, p in sorted(spans.items(), key=lambda x: (x[0][0], x[0][2]))]
 
@@ -315,7 +325,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """documents, each span of its texts replaced by `[SECRET kind]`, n_chars (where there is one) counted anew."""
+    """documents, each span of its texts replaced by `[SECRET kind]` (overlapping ones by one, of the first's kind), n_chars (where there is one) counted anew."""
     shared = documents.sparkSession.sparkContext.broadcast(trained())
     at = documents.columns.index("text")
 
