@@ -481,6 +481,12 @@ def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(lines)
 
 
+@query()
+def linked_groups_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and orders joined by any line, by the smallest part they can reach; `linked_groups` is bound to its SQL."""
+    return graph.components(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 100_000_000).alias("b")))
+
+
 # --- telemetry and policies
 
 _USAGE = """

@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables, one session for all."""
 
 import os
+import random
 
 import pytest
 
@@ -43,5 +44,17 @@ def test_query_without_sql_runs(spark, name):
     assert len(entry.queries()[name](spark, SF).columns) > 1
 
 
+def test_linked_groups_of_all_lines(spark, tmp_path):
+    """Lines of every quantity, a part that most orders share among them, against brute force."""
+    rng = random.Random(3)
+    lines = [(rng.choice((1, 1, rng.randint(2, 400))), k, float(rng.randint(1, 50))) for k in rng.choices(range(1, 300), k=400)] + [(900, 900, 1.0), (901, 900, 50.0)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    label = {x: x for p, o, _ in lines for x in (p, 100_000_000 + o)}
+    for _ in label:
+        for p, o, _ in lines:
+            label[p] = label[100_000_000 + o] = min(label[p], label[100_000_000 + o])
+    assert {r.node: r.label for r in entry.queries()["linked_groups_of_all"](spark, str(tmp_path)).collect()} == label
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
