@@ -1,4 +1,4 @@
-"""Packing of records into one compressed cell per bucket, and exact comparison of byte ranges."""
+"""Packing of records into one compressed cell per bucket, and spans of documents."""
 
 from __future__ import annotations
 
@@ -52,24 +52,6 @@ def gathered(payloads: Iterable[bytes]) -> tuple[list[np.ndarray], bytes]:
     return [np.concatenate(x) for x in zip(*(a for a, _ in parts))], b"".join(s for _, s in parts)
 
 
-def loads8(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from every position on, as integers; buf must end with eight spare bytes."""
-    return np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
-
-
-def same_bytes(eights: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether the ranges of `length` (8 or more) bytes from a and from b are equal."""
-    same = np.ones(len(a), dtype=bool)
-    live, at = np.arange(len(a)), 0
-    while len(live):
-        step = np.minimum(at, length[live] - 8)
-        equal = eights[a[live] + step] == eights[b[live] + step]
-        same[live[~equal]] = False
-        at += 8
-        live = live[equal & (at < length[live])]
-    return same
-
-
 def span_rows(row_id: np.ndarray, row_hash: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
     """One row per document: its spans as a blob of int32 (start, end), touching ones joined."""
     names = ["row_id", "row_hash", "span_blob"]
@@ -95,6 +77,12 @@ def span_rows(row_id: np.ndarray, row_hash: np.ndarray, starts: np.ndarray, ends
     return pa.table([pa.array(row_id[first]), pa.array(row_hash[first]), pa.array(blobs, pa.binary())], names=names)
 
 
+def merged_blob(starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Spans in order of their starts as a blob of int32 (start, end), touching ones joined."""
+    head = np.flatnonzero(np.concatenate(([True], starts[1:] > ends[:-1])))
+    return np.stack((starts[head], ends[np.append(head[1:], len(starts)) - 1]), axis=1).astype("<i4").tobytes()
+
+
 def merged(blobs: list[bytes] | None, n: int) -> np.ndarray:
     """Maximal runs (start, end) of the union of span blobs, within n items."""
     if not blobs:

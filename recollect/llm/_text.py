@@ -13,11 +13,14 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Ranges of at most so many bytes are hashed together, eight bytes a step.
+_CHAINED = 32
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the lowest 0 to 8 bytes.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def release() -> None:
@@ -81,29 +84,6 @@ def slices(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i in 0..n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n + 1:
-        size = max(n + 1, CHUNK + 2)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.empty(size, dtype=np.uint64)
-            p[0] = 1
-            done = 1
-            while done < size:  # doubling: the next block is the first times base**done
-                step = np.uint64(pow(b, done, 1 << 64))
-                m = min(done, size - done)
-                p[done : done + m] = p[:m] * step
-                done += m
-            out.append(p)
-        have = (out[0], out[1])
-        if size <= 64 * CHUNK:
-            _powers[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, in place."""
     h ^= h >> np.uint64(30)
@@ -114,28 +94,94 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A mixed 64-bit polynomial hash of values[s:e] for every range; equal content, equal hash."""
-    p, inverse = powers(len(values), base)
-    sums = np.empty(len(values) + 1, dtype=np.uint64)
-    sums[0] = 0
-    v = values.astype(np.uint64)
-    v += np.uint64(1)
-    v *= p[: len(values)]
-    np.cumsum(v, out=sums[1:])
-    h = sums[ends]
-    h -= sums[starts]
-    h *= inverse[starts]
-    h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+def padded(buf: np.ndarray) -> np.ndarray:
+    """The bytes with eight spare ones behind them, as `loads8` needs."""
+    return np.concatenate((buf, np.zeros(8, np.uint8)))
+
+
+def loads8(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as integers; buf must end with eight spare bytes."""
+    return np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+
+
+def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of buf[s:e] for every range: eight bytes after eight through a mixer, longer ranges by XXH3.
+
+    No polynomial: such sums collide on texts that anyone can write down.  Hashes propose;
+    where a result hangs on equality, `leaders` and `same_ranges` compare the bytes.
+    """
+    size = (ends - starts).astype(np.int64)
+    h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ _KEY
+    eights = loads8(padded(buf))
+    for k in range(0, _CHAINED, 8):
+        live = np.flatnonzero((size > k) & (size <= _CHAINED))
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (eights[starts[live] + k] & _LOW[np.minimum(size[live] - k, 8)]))
+    digest = xxhash.xxh3_64_intdigest
+    for i in np.flatnonzero(size > _CHAINED).tolist():
+        h[i] = digest(buf[starts[i] : ends[i]], 42)
+    return h
+
+
+def same_ranges(eights: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ranges of `length` bytes from a (in the bytes of `eights`) and from b (of `others`) are equal."""
+    same = np.ones(len(a), dtype=bool)
+    live, at = np.flatnonzero(length > 0), 0
+    while len(live):
+        unlike = (eights[a[live] + at] ^ others[b[live] + at]) & _LOW[np.minimum(length[live] - at, 8)]
+        equal = unlike == 0
+        same[live[~equal]] = False
+        at += 8
+        live = live[equal & (length[live] > at)]
+    return same
+
+
+def leaders(hashes: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], order_key: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(item, its leader) for the items that aren't the first of the items equal to them.
+
+    Hashes propose, same(items, others) decides.  order_key: least significant first, as for
+    lexsort; without one, items come in the order they are given.
+    """
+    plain = np.argsort(hashes, kind="stable")
+    twin = hashes[plain][1:] == hashes[plain][:-1]
+    some = np.zeros(len(hashes), dtype=bool)
+    some[plain[1:][twin]] = True
+    some[plain[:-1][twin]] = True
+    idx = np.flatnonzero(some) if order_key else plain[some[plain]]
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    while len(idx):
+        order = idx[np.lexsort((*(k[idx] for k in order_key), hashes[idx]))] if order_key else idx
+        head = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+        first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        rest, lead = order[~head], first[~head]
+        equal = same(rest, lead)
+        out.append(np.stack((rest[equal], lead[equal]), axis=1))
+        idx = rest[~equal]  # a hash shared by different items: look among those that are left
+    found = np.concatenate(out)
+    return found[:, 0], found[:, 1]
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two neighbouring runs from theirs."""
+    return mix(a * np.uint64(0xD1342543DE82EF95) + b)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every n consecutive word hashes, boundaries of rows ignored."""
-    if len(words) < n:
+    """Hashes of every n consecutive word hashes, boundaries of rows ignored; runs of 1, 2, 4, ... words are joined."""
+    total = len(words) - n + 1
+    if total <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(len(words) - n + 1)
-    return range_hashes(words, starts, starts + n, 0xD1342543DE82EF95)
+    run, width, done, out = words, 1, 0, None
+    while True:
+        if n & width:
+            part = run[done : done + total]
+            out = part if out is None else _joined(out, part)
+            done += width
+        if done == n:
+            return out
+        run = _joined(run[:-width], run[width:])
+        width *= 2
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -174,7 +220,7 @@ def hashed_words(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tu
     for i, j in slices(offsets):
         part = buf[offsets[i] : offsets[j]]
         a, b, w = word_bounds(part, offsets[i : j + 1] - offsets[i], member)
-        hashes.append(range_hashes(part, a, b))
+        hashes.append(byte_hashes(part, a, b))
         starts.append(a + offsets[i])
         ends.append(b + offsets[i])
         counts.append(np.diff(w))

@@ -57,7 +57,7 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n = np.diff(woffs)
     per_word = np.maximum(n, 1)
     letters = _text.per_row_sum(_LETTER[buf], offs)
-    words = _text.range_hashes(buf, starts, ends)
+    words = _text.byte_hashes(buf, starts, ends)
     _, first, often = np.unique(_text.mix(words ^ (owner.astype(np.uint64) * _ROW)), return_index=True, return_counts=True)
     top = np.zeros(rows, dtype=np.int64)
     np.maximum.at(top, owner[first], often)

@@ -1,8 +1,8 @@
 """Quality rules from repetition: characters inside duplicated n-grams and lines.
 
-Word n-grams of several lengths are hashed by a rolling polynomial over word hashes (numpy,
-one pass per length), and a document's duplicated n-grams are found by sorting the hashes
-of its block.  An n-gram of five words or more can only be duplicated where its three-word
+Word n-grams of several lengths are hashed from rolling hashes of runs of 1, 2, 4 and 8 words
+(numpy, one pass per length), and a document's duplicated n-grams are found by sorting the
+hashes of its block; n-grams and lines whose hashes agree are compared byte by byte.  An n-gram of five words or more can only be duplicated where its three-word
 grams are, so the longer lengths look at those places alone.
 
 Null, empty and blank texts have no words: they fail the base rule and aren't kept.  Long
@@ -34,14 +34,12 @@ SCHEMA = (
 )
 
 
-def _duplicated(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """True where a row has the same hash more than once."""
+def _duplicated(hashes: np.ndarray, rows: np.ndarray, same) -> np.ndarray:
+    """True where a row has the same item more than once; same(items, others) compares their bytes."""
     key = _text.mix(hashes ^ (rows.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-    order = np.argsort(key)
-    equal = key[order][1:] == key[order][:-1]
+    late, lead = _text.leaders(key, lambda a, b: (rows[a] == rows[b]) & same(a, b))
     out = np.zeros(len(key), dtype=bool)
-    out[order[1:][equal]] = True
-    out[order[:-1][equal]] = True
+    out[late] = out[lead] = True
     return out
 
 
@@ -68,24 +66,35 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     head = np.ones(len(starts), dtype=bool)
     head[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
     head = np.flatnonzero(head)
-    line_hash = _text.range_hashes(buf, low[head], high[head])
-    line_row = owner[head]
-    key = _text.mix(line_hash ^ (line_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-    _, first = np.unique(key, return_index=True)  # the first of equal lines
-    dup_line = np.ones(len(head), dtype=bool)
-    dup_line[first] = False
+    line_row, low, high = owner[head], low[head], high[head]
+    eights = _text.loads8(_text.padded(buf))
+
+    def equal_bytes(x, y, size, other_size):
+        equal = size == other_size
+        equal[equal] = _text.same_ranges(eights, x[equal], eights, y[equal], size[equal])
+        return equal
+
+    key = _text.mix(_text.byte_hashes(buf, low, high) ^ (line_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    late, _ = _text.leaders(key, lambda a, b: (line_row[a] == line_row[b]) & equal_bytes(low[a], low[b], (high - low)[a], (high - low)[b]))
+    dup_line = np.zeros(len(head), dtype=bool)
+    dup_line[late] = True
     n_dup_lines = np.bincount(line_row[dup_line], minlength=rows)
     line_chars = np.diff(np.append(np.concatenate(([0], np.cumsum(chars)))[head], chars.sum())) if len(head) else np.zeros(0, np.int64)
     dup_line_chars = np.bincount(line_row[dup_line], weights=line_chars[dup_line], minlength=rows)
 
-    word_hash = _text.range_hashes(buf, starts, ends)
-    grams = {}
+    word_hash, size = _text.byte_hashes(buf, starts, ends), ends - starts
 
     def dup_starts(n: int, among: np.ndarray) -> np.ndarray:
-        hashes = grams[n] = _text.gram_hashes(word_hash, n)
         among = among[among + n <= len(word_hash)]
         among = among[owner[among] == owner[among + n - 1]]
-        return among[_duplicated(hashes[among], owner[among])]
+
+        def same(a, b):
+            equal, a, b = np.ones(len(a), dtype=bool), among[a], among[b]
+            for k in range(n):
+                equal &= equal_bytes(starts[a + k], starts[b + k], size[a + k], size[b + k])
+            return equal
+
+        return among[_duplicated(_text.gram_hashes(word_hash, n)[among], owner[among], same)]
 
     threes = dup_starts(3, np.arange(len(word_hash)))
     n_repeat = _text.per_row_sum(_inside(len(word_hash), threes, 3), woffs)

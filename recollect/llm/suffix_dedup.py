@@ -47,7 +47,7 @@ def anchors(buf: np.ndarray, window: int) -> np.ndarray:
     """The anchor value of the window at every byte, row boundaries ignored."""
     if len(buf) < window:
         return np.zeros(0, np.uint64)
-    return _text.sliding_min(_gram_hashes(_packed.loads8(np.ascontiguousarray(buf)), 0, len(buf)), window - GRAM + 1)
+    return _text.sliding_min(_gram_hashes(_text.loads8(np.ascontiguousarray(buf)), 0, len(buf)), window - GRAM + 1)
 
 
 def _gram_hashes(eights: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -101,7 +101,7 @@ def _grouped(buf: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray, r
     A window's own place of its anchor is the leftmost, so equal windows have it at the same
     distance, belong to groups of the same distances, and share the same core.
     """
-    eights = _packed.loads8(np.concatenate((buf, np.zeros(8, np.uint8))))
+    eights = _text.loads8(np.concatenate((buf, np.zeros(8, np.uint8))))
     out_a, out_b, out_row, key = [], [], [], []
     for x, y, r in zip(a.tolist(), b.tolist(), row.tolist()):
         places = np.flatnonzero(_gram_hashes(eights, x, y + window) == value[x]) + x
@@ -113,7 +113,7 @@ def _grouped(buf: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray, r
         out_a.append(start[head])
         out_b.append(np.append(start[head[1:]] - 1, y))
         out_row.append(np.full(len(head), r))
-        key.append(_text.range_hashes(buf[x : y + window], last - x, last - GROUP_WINDOWS + 1 + window - x))
+        key.append(_text.byte_hashes(buf[x : y + window], last - x, last - GROUP_WINDOWS + 1 + window - x))
     return tuple(np.concatenate(c) for c in (out_a, out_b, out_row, key))
 
 
@@ -231,7 +231,7 @@ def _may_repeat_inside(strings: bytes, offs: np.ndarray, value: np.ndarray) -> n
         buf = np.frombuffer(strings, dtype=np.uint8, count=int(offs[j] - offs[i]), offset=int(offs[i]))
         if len(buf) < GRAM:
             continue
-        h = _gram_hashes(_packed.loads8(buf), 0, len(buf))
+        h = _gram_hashes(_text.loads8(buf), 0, len(buf))
         size = offs[i + 1 : j + 1] - offs[i:j]
         hit = np.flatnonzero(h == np.repeat(value[i:j], size)[: len(h)])
         places[i:j] = np.bincount(np.searchsorted(offs[i : j + 1] - offs[i], hit, side="right") - 1, minlength=j - i)
@@ -246,7 +246,7 @@ def _shard_repeats(strings: bytes, offs: np.ndarray, records: np.ndarray, window
     padded = np.frombuffer(text + mark * (window + 16), dtype=np.uint8)
     symbols = np.unique(padded[:n], return_inverse=True)
     order = suffix_array(symbols[1].astype(np.int64), len(symbols[0]))
-    shared = permuted_common_prefixes(padded, _packed.loads8(padded), order, window)
+    shared = permuted_common_prefixes(padded, _text.loads8(padded), order, window)
     hit = shared >= window
     later = shared[order[1:]] >= window
     hit[order[:-1][later]] = True

@@ -58,29 +58,16 @@ def normalised(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b"".join(parts) + bytes(8), dtype=np.uint8), out
 
 
-def leaders(hashes: np.ndarray, order_key: tuple[np.ndarray, ...], eights: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, its leader) for the items that aren't the first of the items with the same bytes.
-
-    order_key: least significant first, as for lexsort.  Hashes only propose; bytes decide.
-    """
-    plain = np.argsort(hashes)
-    twin = hashes[plain][1:] == hashes[plain][:-1]
-    some = np.zeros(len(hashes), dtype=bool)
-    some[plain[1:][twin]] = True
-    some[plain[:-1][twin]] = True
-    idx = np.flatnonzero(some)
-    out = [np.zeros((0, 2), dtype=np.int64)]
-    while len(idx):
-        order = idx[np.lexsort((*(k[idx] for k in order_key), hashes[idx]))]
-        head = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
-        first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        rest, lead = order[~head], first[~head]
-        same = length[rest] == length[lead]
-        same[same] = _packed.same_bytes(eights, at[rest[same]], at[lead[same]], length[rest[same]])
-        out.append(np.stack((rest[same], lead[same]), axis=1))
-        idx = rest[~same]  # a hash shared by different windows: look among those that are left
-    found = np.concatenate(out)
-    return found[:, 0], found[:, 1]
+def _late(hashes: np.ndarray, row_id: np.ndarray, start: np.ndarray, eights: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The windows that come strictly after the first window of the same bytes, in (row_id, start) order."""
+
+    def same(a, b):
+        equal = length[a] == length[b]
+        equal[equal] = _text.same_ranges(eights, at[a[equal]], eights, at[b[equal]], length[a[equal]])
+        return equal
+
+    late, lead = _text.leaders(hashes, same, (start, row_id))
+    return late[_after(late, lead, row_id, start)]
 
 
 def _after(a: np.ndarray, b: np.ndarray, row_id: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -152,8 +139,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         record = block.owner[first]
         begin = start[record] + first - block.woffs[record]
         at, end = block.starts[first], block.ends[first + window - 1]
-        late, lead = leaders(_text.gram_hashes(block.hash, window)[first], (begin, row_id[record]), _packed.loads8(buf), at, end - at)
-        late = late[_after(late, lead, row_id[record], begin)]
+        late = _late(_text.gram_hashes(block.hash, window)[first], row_id[record], begin, _text.loads8(buf), at, end - at)
         found.append((row_id[record[late]], row_hash[record[late]], begin[late], begin[late] + window))
         out = _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
         _text.release()
@@ -173,8 +159,7 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
     owner = block.owner
     begin = np.arange(len(owner)) - block.woffs[owner]  # word number in its text
     low, high = block.starts[first], block.ends[first + window - 1]
-    late, lead = leaders(whole[first], (begin[first], row_id[owner[first]]), _packed.loads8(text), low, high - low)
-    late = late[_after(late, lead, row_id[owner[first]], begin[first])]
+    late = _late(whole[first], row_id[owner[first]], begin[first], _text.loads8(text), low, high - low)
     if len(late):
         f = first[late]
         here = _packed.span_rows(row_id[owner[f]], row_hash[owner[f]], begin[f], begin[f] + window)
