@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; only where none is named (tests), a local one."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, which the session names in spark.checkpoint.dir.
+
+    Only a local session may go without: its folder is on the one machine there is.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,15 +39,20 @@ def buckets_for(df: DataFrame, blow_up: float, target_bytes: int) -> int:
     return int(max(least, min(size * blow_up / target_bytes, 1 << 22)))
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text and the key of a row: its id (null: the smallest long) and, where ids repeat, a hash of its text.
+def key_columns(documents: DataFrame) -> tuple[Column, Column]:
+    """The key of a row: its id (null: the smallest long) and, where ids repeat, a hash of its text.
 
     Rows that agree in both are repeats of one document and get one result each.  Where all
     ids differ, the hash is 0: it would only be eight more bytes of everything that travels.
     """
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     repeated = documents.groupBy(row_id.alias("row_id")).count().where("count > 1").limit(1).count() > 0
-    row_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if repeated else F.lit(0).cast("long")
+    return row_id, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if repeated else F.lit(0).cast("long")
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and the key of a row as row_id and row_hash."""
+    row_id, row_hash = key_columns(documents)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_id.alias("row_id"), row_hash.alias("row_hash"))
 
 

@@ -66,9 +66,9 @@ def brute_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 400])
-def test_decontamination(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("near_bytes", [decontaminate.NEAR_BYTES, 0])
+def test_decontamination(spark, monkeypatch, near_bytes):
+    monkeypatch.setattr(decontaminate, "NEAR_BYTES", near_bytes)
     rng = random.Random(5)
     words = ["w%d" % k for k in range(30)]
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([3, 9, 10, 11, 25, 60])))) for k in range(12)] + [(50, "É tude"), (51, None), (52, "...")]
@@ -87,6 +87,30 @@ def test_decontamination(spark, monkeypatch, block_bytes):
     assert sum(x[1] > 0 for x in brute.values()) > 10
 
 
+def thue_morse(n):
+    """A string that sums modulo powers of two can't tell from its complement."""
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("near_bytes", [decontaminate.NEAR_BYTES, 0])
+def test_decontamination_of_repeated_grams_and_look_alike_words(spark, monkeypatch, near_bytes):
+    """One word over and over on both sides, a passage that all items share, words that polynomial hashes confuse."""
+    monkeypatch.setattr(decontaminate, "NEAR_BYTES", near_bytes)
+    shared, a = " ".join(f"s{k}" for k in range(40)), thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    ten = " ".join(f"t{k}" for k in range(10))
+    items = [(k, f"i{k} {shared} j{k}") for k in range(30)] + [(100, "again " * 2000), (101, f"{ten} {a}"), (102, "x y " * 30), (102, "equal ids " * 6), (None, "no id " * 8)]
+    texts = ["again " * 2000, f"pre {shared} i3", f"{ten} {b}", f"{b} {ten} {b}", f"{ten} {a}", "y x " * 9, "equal ids " * 5 + "no id " * 8] + [f"i{k} {shared}" for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    # repeated rows have equal results
+    docs = frame(spark, texts).unionAll(frame(spark, texts))
+    brute = brute_contamination(texts, [("" if i is None else i, t) for i, t in items])
+    got = [r for r in decontaminate.contamination(docs, bench).collect() if r.doc_id is not None]
+    assert len(got) == 2 * len(texts) and {(r.doc_id, r.n_words, r.n_hit, r.n_items, decontaminate.items_digest(r["items"])) for r in got} == {(k, *v) for k, v in brute.items()}
+    left = [r.doc_id for r in decontaminate.uncontaminated(docs, bench).collect() if r.doc_id is not None]
+    assert sorted(left) == sorted(2 * [k for k, x in brute.items() if not x[1]])
+
+
 def test_decontamination_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.contamination(frame(spark, ODD), none).collect()} == {0}
@@ -312,7 +336,9 @@ def test_chat_merges_adjacent_turns(spark):
 
 
 def test_rules(spark):
-    texts = ODD + some_texts(21) + ["#|" + "a b c d e f g h " * 12 + "\n" + "one two\n" * 5]
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = ODD + some_texts(21) + ["#|" + "a b c d e f g h " * 12 + "\n" + "one two\n" * 5, f"{a}\n{b}\n{a}", f"{a} x y\n {b} x y {a} x y", f"{a} " * 60, f"{a} {b} " * 40]
     rows = {r.doc_id: r for r in rules.quality_rules(frame(spark, texts)).collect()}
     for k, t in enumerate(texts):
         t, w = t or "", WORD.findall(t or "")
