@@ -1,12 +1,13 @@
 """Chat formatting with Spark expressions alone.
 
-Turns are collected as structs per conversation and block of turn numbers, sorted, and
+Turns are collected as structs per conversation and block of places in it, sorted, and
 adjacent turns of one role become one message: `<s>[INST] role [/INST] part<part>part</s>`.
 Control strings inside roles and texts are escaped, so the output reads back to the very
 turns.  The loss mask is a list of code-point ranges of the output, one per assistant turn.
 
-Blocks keep a very long conversation from being one array: each block is formatted on its
-own task, and only its text, its last role and its length meet the neighbours'.
+Blocks keep a very long conversation from being one array of turns: `BLOCK_TURNS` turns are
+formatted at a time, whatever their numbers, and only a block's text, last role and length
+meet the neighbours'.  The formatted conversation itself is one cell.
 
 Null texts and roles are empty, a null conversation or turn number groups and sorts (first)
 as one more value, equal turn numbers sort by role and text, and an empty table gives an
@@ -43,12 +44,13 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans: array of struct(start, n) in code points of formatted."""
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.floor(F.col("turn").cast("long") / BLOCK_TURNS).alias("block"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("t"))
+    turns = turns.withColumn("block", F.floor((place - 1) / BLOCK_TURNS))
     blocks = turns.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("t"))
     blocks = blocks.select("conv_id", "block", "t", F.element_at("t", 1)["role"].alias("first_role"), F.element_at("t", -1)["role"].alias("last_role"))
-    in_order = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
+    in_order = Window.partitionBy("conv_id").orderBy("block")
     blocks = blocks.withColumn("before", F.lag("last_role").over(in_order))
 
     def lead_in(previous: Column, role: Column) -> Column:
