@@ -32,27 +32,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def buckets_of(spark: SparkSession, n_bytes: float, target_bytes: int) -> int:
+    """Buckets of about target_bytes for n_bytes, never fewer than the shuffle partitions."""
+    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // target_bytes + 1))
+
+
 def buckets_for(df: DataFrame, blow_up: float, target_bytes: int) -> int:
-    """Buckets of about target_bytes for blow_up times the estimated size of df, never fewer than the shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets of about target_bytes for blow_up times the estimated size of df."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return int(max(least, min(size * blow_up / target_bytes, 1 << 22)))
+    return min(buckets_of(df.sparkSession, size * blow_up, target_bytes), 1 << 24)
 
 
-def key_columns(documents: DataFrame) -> tuple[Column, Column]:
-    """The key of a row: its id (null: the smallest long) and, where ids repeat, a hash of its text.
+def key_columns(documents: DataFrame) -> tuple[Column, Column, bool]:
+    """The key of a row: its id (null: the smallest long) and, where ids repeat, a hash of its text; and whether they do.
 
     Rows that agree in both are repeats of one document and get one result each.  Where all
     ids differ, the hash is 0: it would only be eight more bytes of everything that travels.
     """
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     repeated = documents.groupBy(row_id.alias("row_id")).count().where("count > 1").limit(1).count() > 0
-    return row_id, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if repeated else F.lit(0).cast("long")
+    return row_id, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if repeated else F.lit(0).cast("long"), repeated
 
 
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text and the key of a row as row_id and row_hash."""
-    row_id, row_hash = key_columns(documents)
+    row_id, row_hash, _ = key_columns(documents)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_id.alias("row_id"), row_hash.alias("row_hash"))
 
 

@@ -244,7 +244,7 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     if near is None:
         windows, _ = _far_items(items)
         hit = _far_windows(keyed(documents), items).join(windows, "gram", "left_semi").select("row_id", "row_hash").distinct()
-        row_id, row_hash = key_columns(documents)
+        row_id, row_hash, _ = key_columns(documents)
         rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), row_id.alias("row_id"), row_hash.alias("row_hash"))
         return rows.join(hit, ["row_id", "row_hash"], "left_anti").select("row.*")
     shared, at = documents.sparkSession.sparkContext.broadcast(near), documents.columns.index("text")

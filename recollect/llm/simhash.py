@@ -1,20 +1,34 @@
-"""SimHash near-duplicates: fingerprints, and a self-join of them as binary tries.
-
-Equal fingerprints are one before anything is joined, so a group of copies is one row.
-Two fingerprints that differ in at most two of 64 bits agree in two of four 16-bit blocks:
-each goes, once per choice of two blocks, to the shard of those 32 bits.  There the sorted
-fingerprints, the chosen blocks turned to the top, are a binary trie whose nodes are ranges;
-pairs of nodes are walked together, a level at a time, adding up differing bits and
-dropping a pair once they exceed the budget.  A shard passes on a star for each of its own
+"""SimHash near-duplicates: fingerprints, and self-joins of them as binary tries.
+
+Sorted fingerprints are a binary trie whose nodes are ranges; pairs of nodes are walked
+together, a level at a time, adding up differing bits and dropping a pair once they exceed
+the budget.  Equal fingerprints are one before anything is joined, so a group of copies is
+one row.  There are two joins.
+
+`near_duplicates` links fingerprints that differ in at most two of 64 bits, all of them: they
+agree in two of four 16-bit blocks, so each goes, once per choice of two blocks, to the shard
+of those 32 bits, where the rest is walked.  A shard passes on a star for each of its own
 components, not its pairs, and stars of all shards are joined by `graph.components`.
 
+`similar_groups` links texts whose sets of shingles have a Jaccard similarity of `similarity`
+or more, the shingles lower-cased as for fingerprints.  `LANES` fingerprints of every text
+(256 bits) differ in a known share of bits at that similarity; a table takes some bits of a
+lane as its key and walks the tries of equal keys.  There are as many tables as find a pair at
+the limit with probability `FOUND`, whatever the number of texts.  Where more than `RUN` texts
+share a key, each is compared with those next to it in the order of that table's bits; keys
+that a sample shows to be very frequent are twice as long, so that no task holds a large part
+of all texts.  Texts that hang together in such groups meet in other tables.  Of the pairs that 256 bits
+don't rule out a shard passes on a spanning forest of the nearest, whose texts are compared
+exactly before they link.
+
 Null and empty texts have no words and fingerprint zero, which links like any other.  A
 component of which every id is null has the id null.  Repeated rows share a fingerprint.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import _text
-from recollect.llm._spark import cut
+from recollect.llm._spark import buckets_of, cut, key_columns
 from recollect.llm.graph import components
 
 SEED = 42
@@ -31,27 +45,44 @@ BLOCK_BITS = 16
 PAIRS_OF_BLOCKS = tuple(combinations(range(64 // BLOCK_BITS), 2))
 #: Node pairs that one step of the walk holds at most; larger frontiers are walked in parts.
 FRONTIER = 1 << 20
+SHARD_BYTES = 8 << 20
+#: Of `similar_groups`: fingerprints of a text, the chance that a pair at the limit meets in a
+#: table's shard, and how many standard deviations of differing bits are allowed above the mean.
+LANES, FOUND, SPREAD = 4, 0.97, 2.0
+#: A key of a table that more texts share is walked in runs of so many neighbours, overlapping by half.
+RUN = 256
+#: One text in so many is looked at for keys that very many share; those found as often are lengthened.
+SAMPLE_ONE_IN, FREQUENT = 64, 1024
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The 64-bit SimHash of lower-cased words, over shingles with repeats."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the lower-cased shingles of words, repeats included; of fewer words, of all of them."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], dtype="<u8")  # zip ends with the last whole shingle
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)  # zip ends with the last whole shingle
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes set."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
+        part = hashes[at : at + (1 << 16)].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The 64-bit SimHash of lower-cased words, over shingles with repeats."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
     """doc_id, fp: the fingerprint of every row as a signed long."""
 
@@ -66,17 +97,22 @@ def fingerprints(documents: DataFrame, text_col: str = "text", id_col: str = "do
     return chosen.mapInArrow(_text.frugal(run), f"{id_col} long, fp long")
 
 
-def trie_pairs(sorted_keys: np.ndarray, fixed_bits: int, budget: int):
+def trie_roots(sorted_keys: np.ndarray, fixed_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of the keys that agree in the top fixed_bits."""
+    n = len(sorted_keys)
+    top = sorted_keys >> np.uint64(64 - fixed_bits) if fixed_bits else np.zeros(n, np.uint64)
+    heads = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))[:n]
+    return heads, np.append(heads[1:], n)[: len(heads)]
+
+
+def trie_pairs(sorted_keys: np.ndarray, fixed_bits: int, budget: int, roots: tuple[np.ndarray, np.ndarray] | None = None):
     """Index pairs (i < j) of sorted distinct uint64 keys that agree in the top fixed_bits and differ in at most budget bits.
 
-    Yields pairs of index arrays.
+    roots: the ranges to look in, if not all that agree.  Yields pairs of index arrays.
     """
-    n = len(sorted_keys)
-    top = sorted_keys >> np.uint64(64 - fixed_bits) if fixed_bits else np.zeros(n, np.uint64)
-    heads = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
-    tails = np.append(heads[1:], n)
-    many = tails - heads > 1
-    a, b = heads[many], tails[many]
+    a, b = roots or trie_roots(sorted_keys, fixed_bits)
+    many = b - a > 1
+    a, b = a[many], b[many]
     # a frontier: level, first node [a, b), second node [c, d), differing bits so far
     stack = [(fixed_bits, a, b, a, b, np.zeros(len(a), np.int64))]
     while stack:
@@ -157,7 +193,7 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
         cols = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (out_a, out_b)]
         return pa.table({"a": cols[0], "b": cols[1]})
 
-    shards = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    shards = buckets_of(distinct.sparkSession, len(PAIRS_OF_BLOCKS) * 16 * distinct.count(), SHARD_BYTES)
     block = [F.shiftrightunsigned("fp", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for i in range(64 // BLOCK_BITS)]
     keys = F.array(*[F.struct(F.lit(k).alias("combo"), F.xxhash64(F.lit(k), block[i], block[j]).alias("key")) for k, (i, j) in enumerate(PAIRS_OF_BLOCKS)])
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.combo").alias("combo"), F.pmod("k.key", F.lit(shards)).cast("int").alias("shard"))
@@ -173,3 +209,161 @@ def near_duplicates(documents: DataFrame, budget: int = 2, shingle: int = 3) ->
     least = joined.groupBy("label").agg(F.min("low").alias("component_id"))
     found = joined.join(least, "label").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+# Similarity of whole texts
+
+
+def _tables(n: int, similarity: float, found: float = FOUND) -> list[tuple[int, np.ndarray]]:
+    """(lane, its bits in order, the key's first) of every table for n texts, and how many bits a key has."""
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi  # the share of bits in which texts at the limit agree
+    key_bits = max(12, math.ceil(math.log2(max(n, 2))) - 4)
+    n_tables = math.ceil(math.log(1 - found) / math.log(1 - agree**key_bits))
+    rng = np.random.default_rng(SEED)
+    return [(t % LANES, rng.permutation(64)[:key_bits]) for t in range(n_tables)]
+
+
+def _allowed(bits: int, similarity: float) -> int:
+    """Differing bits up to which texts at the limit are looked for."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * apart + SPREAD * math.sqrt(bits * apart * (1 - apart)))
+
+
+def _bits_first(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Fingerprints with the given bits moved to the top, the others behind them in order."""
+    out, order = np.zeros_like(fps), [*bits.tolist(), *(b for b in range(64) if b not in set(bits.tolist()))]
+    for k, b in enumerate(order):
+        out |= ((fps >> np.uint64(b)) & np.uint64(1)) << np.uint64(63 - k)
+    return out
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the pairs that span what all of them connect, nearest first."""
+    label, rank = np.arange(n), np.empty(len(i), dtype=np.int64)
+    rank[np.argsort(apart, kind="stable")] = np.arange(len(i))
+    of_rank, live, chosen = np.argsort(rank), np.arange(len(i)), []
+    while True:
+        live = live[label[i[live]] != label[j[live]]]
+        if not len(live):
+            return np.concatenate(chosen) if chosen else live
+        best = np.full(n, len(i), dtype=np.int64)  # the nearest pair that leaves each component
+        np.minimum.at(best, label[i[live]], rank[live])
+        np.minimum.at(best, label[j[live]], rank[live])
+        taken = of_rank[np.unique(best[best < len(i)])]
+        chosen.append(taken)
+        label = _stars(n, [(label[i[taken]], label[j[taken]])])[label]
+
+
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges cut into runs of at most RUN, which overlap by half."""
+    n = np.maximum(-(-2 * (b - a) // RUN) - 1, 1)
+    low = np.repeat(a, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * (RUN // 2)
+    return low, np.minimum(low + RUN, np.repeat(b, n))
+
+
+def _near(table_fps: np.ndarray, fine: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the fingerprints (rows of `fine`) that meet in one table and aren't ruled out."""
+    turned = _bits_first(table_fps, bits)
+    order = np.argsort(turned, kind="stable")
+    keys, first = np.unique(turned[order], return_index=True)
+    fine, n = fine[order], len(order)
+    budget, fine_budget = _allowed(64, similarity), _allowed(64 * LANES, similarity)
+    equal = np.flatnonzero(turned[order][1:] == turned[order][:-1])
+    held = (np.zeros(0, np.int64),) * 3
+    found = ((first[a], first[b]) for a, b in trie_pairs(keys, len(bits), budget, _runs(*trie_roots(keys, len(bits)))))
+    for i, j in chain([(equal, equal + 1)], found):
+        apart = np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64)
+        some = apart <= fine_budget
+        i, j, apart = (np.concatenate(x) for x in zip(held, (i[some], j[some], apart[some])))
+        keep = _forest(n, i, j, apart)  # what is held never exceeds n pairs
+        held = (i[keep], j[keep], apart[keep])
+    return order[held[0]], order[held[1]]
+
+
+def _candidates(nodes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """a, b: pairs of nodes (node, fine) whose texts may be similar, at most a forest of a shard and table."""
+    tables = _tables(n, similarity)
+    shards = buckets_of(nodes.sparkSession, len(tables) * (16 + 8 * LANES) * n, SHARD_BYTES)
+
+    def join(shard: pa.Table) -> pa.Table:
+        kind, node = shard.column("kind").to_numpy(), shard.column("node").to_numpy()
+        fine = shard.column("fine").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+        out = [(node[:0], node[:0])]
+        for t in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == t)
+            lane, bits = tables[t]
+            i, j = _near(fine[own, lane], fine[own], bits, similarity)
+            out.append((np.minimum(node[own[i]], node[own[j]]), np.maximum(node[own[i]], node[own[j]])))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"a": a, "b": b})
+
+    def key(t: int, lane: int, bits: np.ndarray):
+        mask = sum(1 << int(b) for b in bits)
+        return F.xxhash64(F.lit(t), F.element_at("fine", lane + 1).bitwiseAND(F.lit(mask - ((mask >> 63) << 64))))
+
+    longer = [(lane, np.concatenate((bits, np.setdiff1d(np.arange(64), bits)[: len(bits)]))) for lane, bits in tables]
+    keys = [F.struct(F.lit(t).alias("kind"), key(t, *tables[t]).alias("key"), key(t, *longer[t]).alias("longer")) for t in range(len(tables))]
+    each = nodes.select("node", "fine", F.explode(F.array(*keys)).alias("k")).select("node", "fine", "k.*")
+    sample = each.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE_ONE_IN)) == 0)
+    often = sample.groupBy("kind", "key").count().where(F.col("count") >= FREQUENT).select("kind", "key", F.lit(True).alias("often"))
+    shard = F.pmod(F.when(F.col("often"), F.col("longer")).otherwise(F.col("key")), F.lit(shards)).cast("int")
+    rows = each.join(often, ["kind", "key"], "left").select("node", "fine", "kind", shard.alias("shard"))
+    return rows.groupBy("shard").applyInArrow(join, "a long, b long").distinct()
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    x, y = set(shingle_hashes(a, shingle).tolist()), set(shingle_hashes(b, shingle).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """row_id, row_hash, kept_id, kept_hash: the key of every row (`_spark.key_columns`), and that of the smallest row of its group."""
+
+    def run(batches):
+        lanes = np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            buf, offs = _text.flat(batch.column(0))
+            raw, at = buf.tobytes(), offs.tolist()
+            fine = np.zeros((len(at) - 1, LANES), dtype=np.uint64)
+            for k, (x, y) in enumerate(zip(at, at[1:])):
+                hashes = np.unique(shingle_hashes(raw[x:y], shingle))
+                fine[k] = [majority(_text.mix(hashes + lane)) for lane in lanes] if len(hashes) else 0
+            ends = np.arange(0, fine.size + 1, LANES, dtype=np.int32)
+            yield pa.record_batch([*batch.columns[1:], pa.ListArray.from_arrays(ends, pa.array(fine.ravel().view(np.int64)))], names=["row_id", "row_hash", "fine"])
+
+    def compare(batches):
+        for batch in batches:
+            texts = zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist())
+            alike = [jaccard(x or b"", y or b"", shingle) >= similarity for x, y in texts]
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    row_id, row_hash, _ = key_columns(documents)
+    texts = documents.select(F.col("text").cast("string").alias("text"), row_id.alias("row_id"), row_hash.alias("row_hash"))
+    fps = cut(texts.mapInArrow(_text.frugal(run), "row_id long, row_hash long, fine array<long>"))
+    least = F.min(F.struct("row_id", "row_hash"))
+    nodes = cut(fps.groupBy("fine").agg(least.alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    pairs = cut(_candidates(nodes.select("node", "fine"), nodes.count(), similarity))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    said = texts.join(nodes.join(named, "node").select("node", "row.*"), ["row_id", "row_hash"]).dropDuplicates(["node"]).select("node", "text")
+    both = pairs.join(said.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(said.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_text.frugal(compare), "a long, b long")
+    label = components(links, "a", "b")
+    grouped = nodes.join(label, "node", "left").select("fine", "row", F.coalesce("label", "node").alias("label"))
+    first = grouped.groupBy("label").agg(F.min("row").alias("kept"))
+    kept = grouped.join(first, "label").select("fine", F.col("kept.row_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash"))
+    return fps.join(kept, "fine").select("row_id", "row_hash", "kept_id", "kept_hash")
+
+
+def one_of_each_group(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of documents, all columns, that are the smallest of their group, by id (null first), then by a hash of the text.
+
+    Rows that repeat an id and its text are one; of those, the smallest by the other columns stays.
+    """
+    row_id, row_hash, repeated = key_columns(documents)
+    groups = similar_groups(documents, shingle, similarity)
+    kept = groups.where("row_id = kept_id and row_hash = kept_hash").select("row_id", "row_hash").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row, row_id.alias("row_id"), row_hash.alias("row_hash")).join(kept, ["row_id", "row_hash"], "left_semi")
+    if repeated:  # only then can a key have several rows
+        rows = rows.groupBy("row_id", "row_hash").agg(F.min("row").alias("row"))
+    return rows.select("row.*")

@@ -237,6 +237,25 @@ def test_bpe_frames(spark):
     assert got[None].n_tokens == 0
 
 
+def test_bpe_refuses_patterns_without_proof():
+    with pytest.raises(ValueError):
+        bpe.TreeBPE(RANKS, r"\S+\s*|\s+")
+    assert public_tokenizers.PATTERN in bpe.STABLE_PATTERNS
+
+
+def test_bpe_joins_parts_of_whole_documents(spark):
+    """The tree over real texts, at leaves far smaller than they are; repeated rows and an empty table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [r.text or "" for r in docs.collect()]
+    for leaf in (7, 64):
+        tree = bpe.TreeBPE(RANKS, public_tokenizers.PATTERN, leaf)
+        assert all(tree.encode(t).tolist() == tree.core.encode_ordinary(t) for t in texts)
+    assert sum(len(t) > bpe.LEAF_CHARS for t in texts) > len(texts) / 3
+    twice = bpe.digests(docs.unionAll(docs), RANKS, public_tokenizers.PATTERN)
+    assert twice.count() == 2 * twice.distinct().count()
+    assert bpe.digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def tokens(text):
     return bpe.tokenizer(RANKS, public_tokenizers.PATTERN).core.encode_ordinary(text)
 
@@ -265,6 +284,47 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [simhash.RUN, 4])
+def test_similar_groups(spark, monkeypatch, run):
+    """Groups of five-word shingles at Jaccard 0.8: no link that isn't one, and most of those there are."""
+    monkeypatch.setattr(simhash, "RUN", run)
+    if run == 4:  # lengthen every key
+        monkeypatch.setattr(simhash, "SAMPLE_ONE_IN", 1)
+        monkeypatch.setattr(simhash, "FREQUENT", 1)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    texts = list(ODD)
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for k in rng.sample(range(len(copy)), rng.choice([0, 1, 1, 2, 8])):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    texts += ["Upper CASE words of a text"] + ["upper case WORDS of a  text"]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if simhash.jaccard((texts[a] or "").encode(), (texts[b] or "").encode(), 5) >= 0.8]
+    brute = {k: k for k in range(len(texts))}
+    for _ in texts:
+        for a, b in alike:
+            brute[a] = brute[b] = min(brute[a], brute[b])
+    docs = frame(spark, texts)
+    got = {r.row_id: r.kept_id for r in simhash.similar_groups(docs).collect()}
+    null = -(1 << 63)
+    assert got.pop(null) == null
+    empty = {k for k, t in enumerate(texts) if not (t or "").split()}  # grouped with the row of nulls
+    assert {got.pop(k) for k in empty} == {null}
+    assert all(brute[k] == brute[kept] for k, kept in got.items())  # whatever is linked is alike
+    least = 0.9 if run == simhash.RUN else 0.8
+    assert sum(k != kept for k, kept in got.items()) >= least * sum(k != kept for k, kept in brute.items() if k not in empty)
+    assert sum(k != kept for k, kept in brute.items()) > 30
+    repeated = docs.unionAll(docs)
+    kept = [r.doc_id for r in simhash.one_of_each_group(repeated).collect()]
+    assert sorted(str(k) for k in kept) == sorted(["None", *(str(k) for k, v in got.items() if k == v)])
+    assert simhash.one_of_each_group(repeated).columns == docs.columns
+    assert simhash.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def test_trie_pairs_match_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
@@ -325,6 +385,16 @@ def test_chat_round_trip(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_blocks_go_by_place(spark, monkeypatch):
+    """Null and equal turn numbers, over several blocks."""
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
+    rows = [(c, turn, role, f"{k} </s>") for c, turn in ((1, None), (2, 7)) for k, role in enumerate(["user", "user", "assistant"] * 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_back(chat.format_conversations(df)).collect():
+        assert [(t.role, t.text) for t in r.turns] == sorted((role, text) for c, _, role, text in rows if c == r.conv_id)
+        assert r.loss_text == "".join(sorted(text for c, _, role, text in rows if c == r.conv_id and role == "assistant"))
+
+
 def test_chat_merges_adjacent_turns(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
