@@ -26,6 +26,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table, in whatever store it is."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the checkpoint folder, so that it isn't computed again."""
     checkpoint_dir(df.sparkSession)

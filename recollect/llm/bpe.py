@@ -134,19 +134,21 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, text_c
     return chosen.mapInArrow(_text.frugal(run), f"{id_col} long, ids array<int>, decoded binary")
 
 
-def digests(documents: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: as encode_documents, digested where the tokens are made."""
+def digests(documents: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, digested where the tokens are made; asked for, the ids themselves too."""
 
     def run(batches):
         tree = tokenizer(ranks_path, pattern)
         for batch in batches:
-            n, of_ids, of_text = [], [], []
+            n, of_ids, of_text, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = tree.encode(text or "")
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(tree.decode(ids)).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                all_ids += [ids.astype(np.int32)] * with_ids
+            cols = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+            yield pa.record_batch(cols | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if with_ids else {}))
 
     chosen = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return chosen.mapInArrow(_text.frugal(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return chosen.mapInArrow(_text.frugal(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
