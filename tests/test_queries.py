@@ -2,6 +2,9 @@
 
 import os
 import random
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -56,5 +59,17 @@ def test_linked_groups_of_all_lines(spark, tmp_path):
     assert {r.node: r.label for r in entry.queries()["linked_groups_of_all"](spark, str(tmp_path)).collect()} == label
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_corpus_operators(tmp_path, pipeline):
+    """A copy without both folders of the corpus operators, with or without the pipeline's file."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    left_out = shutil.ignore_patterns("llm", ".git", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"]))
+    shutil.copytree(root, f"{tmp_path}/copy", ignore=left_out)
+    said = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), 'pipeline' in q, any(k.startswith('op1_') for k in q))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", said], cwd=f"{tmp_path}/copy", env=env, capture_output=True, text=True)
+    assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.SQL)), "False", "False"], out.stderr
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
