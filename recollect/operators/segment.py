@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from recollect.functions.statements import LABEL_FIRST
 
-# Abbreviations, limits and patterns.
+# Abbreviations and patterns.
 ABBREVIATIONS = frozenset(
     "e.g. i.e. vs. etc. mr. mrs. ms. dr. prof. sr. jr. inc. ltd. co. fig. approx. dept. est. avg. max. min. no. vol.".split()
 )
-MOST_BYTES = 5 << 20
 _CODE = re.compile(r"```.*?```", re.DOTALL)
 _SPEAKER = re.compile(r"^(Human|User|Assistant|Claude)\s*:\s*", re.MULTILINE | re.IGNORECASE)
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+\.)\s+(?=\S)")
@@ -105,13 +104,17 @@ def sentences(text: str) -> list[dict]:
     return out
 
 
-def segment(transcripts: DataFrame, keys: tuple[str, ...] = ("session_id",), text_col: str = "transcript", most_bytes: int = MOST_BYTES) -> DataFrame:
+def segment(transcripts: DataFrame, keys: tuple[str, ...] = ("session_id",), text_col: str = "transcript", most_bytes: int | None = None) -> DataFrame:
     """keys, idx, role, text, is_code, list_item, list_group, start, end: one row per sentence.
 
-    Of a transcript over most_bytes, the end is kept.  Contiguous list items share a group.
+    Transcripts are read whole.  If most_bytes is given, only the end of a longer one is, and
+    U+FFFD stands for the bytes of a character that is cut.  Contiguous list items share a group.
     """
-    tail = F.when(F.octet_length(text_col) > most_bytes, F.decode(F.substring(F.encode(text_col, "UTF-8"), F.lit(-most_bytes), F.lit(most_bytes)), "UTF-8")).otherwise(F.col(text_col))
-    chosen = transcripts.select(*keys, F.coalesce(tail, F.lit("")).alias("_text"))
+    text = F.col(text_col)
+    if most_bytes is not None:
+        tail = F.substring(F.encode(text, "UTF-8"), F.lit(-most_bytes), F.lit(most_bytes)).cast("string")
+        text = F.when(F.octet_length(text) > most_bytes, F.make_valid_utf8(tail)).otherwise(text)
+    chosen = transcripts.select(*keys, F.coalesce(text, F.lit("")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
     def run(batches):

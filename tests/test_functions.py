@@ -162,7 +162,11 @@ def test_sanitise(spark):
         "S1 | |---|---| | never store card numbers in plain text | why",
         "str | None stays",
         None,
+        "\ufeff\ufeffhuman : a**b__c\r\nd\u2028```` x ```\ninside\n| still inside |",
+        "snake_case and *args, **kwargs; ***all*** of __it__\n- \n#5 isn't a heading\n\n> > quoted twice",
+        "```\nno name\n```\n```\n```\nout | | again",
     ]
     assert column(spark, given, sanitize.description) == [
         "Use redis docs now", "Heading item old [code: python] after", "kept", "never store card numbers in plain text", "str | None stays", "",
+        "ab__c d [code: x ```]", "snake_case and *args, kwargs; *all of it #5 isn't a heading quoted twice", "",
     ]

@@ -94,6 +94,13 @@ def test_diffs(spark):
 # --- extraction
 
 
+def test_segments_of_the_end_of_a_text(spark):
+    """Cut inside a character, whose bytes then stand as U+FFFD; whole where nothing is asked."""
+    df = spark.createDataFrame([("s", "First words. " + "\u20ac" * 10 + " End.")], "session_id string, transcript string")
+    assert [r.text for r in segment.segment(df, most_bytes=9).collect()] == ["\ufffd\u20ac End."]
+    assert segment.segment(df).first().text == "First words. " + "\u20ac" * 10 + " End."
+
+
 def test_segments(spark):
     said = (
         "Intro line. Second one.\nAssistant: We agreed, e.g. on this. Fine!\n- first item\n- second item\nPort: 8080\n"
