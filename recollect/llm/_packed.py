@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -9,9 +10,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recollect.llm import _text
+from recollect.llm._spark import cut
 
 #: Bytes of packed strings that a task gathers before it hands them on.
 FLUSH_BYTES = 16 << 20
+#: What a bucket gives: spans of documents, or records passed on to another bucket.
+SETTLED_NAMES = ["row_id", "row_hash", "span_blob", "bucket", "payload"]
+SETTLED = "row_id long, row_hash long, span_blob binary, bucket int, payload binary"
+#: Counts of keys are looked at in a fixed share of documents; no more keys than this are frequent.
+MOST_KEYS = 1 << 21
 
 
 class Packer:
@@ -28,6 +39,13 @@ class Packer:
     def full(self) -> bool:
         return self.size >= FLUSH_BYTES
 
+    def add_sorted(self, bucket: np.ndarray, arrays: tuple[np.ndarray, ...], strings: list[bytes]) -> None:
+        """Records dealt to their buckets; a string each."""
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        for part in np.split(order, cuts) if len(order) else []:
+            self.add(int(bucket[part[0]]), tuple(a[part] for a in arrays), b"".join([strings[k] for k in part.tolist()]))
+
     def batch(self) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
         buckets, payloads = [], []
@@ -52,6 +70,47 @@ def gathered(payloads: Iterable[bytes]) -> tuple[list[np.ndarray], bytes]:
     return [np.concatenate(x) for x in zip(*(a for a, _ in parts))], b"".join(s for _, s in parts)
 
 
+def salted(key: np.ndarray, salt: int, n_buckets: int) -> np.ndarray:
+    """Buckets beyond n_buckets, where records of a frequent key first meet those of the same salt."""
+    return bucket_of(key ^ _text.mix(np.array([salt + 1], dtype=np.uint64)), n_buckets) + n_buckets
+
+
+def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (_text.mix(key.copy()) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def salt_of(row_id: np.ndarray, row_hash: np.ndarray, n_buckets: int) -> int:
+    """The salt of a block of rows: as many salts as make both meetings of a frequent key alike in size."""
+    first = _text.mix(row_id[:1].astype(np.int64).view(np.uint64) ^ _text.mix(row_hash[:1].astype(np.int64).view(np.uint64).copy()))
+    return int(first[0]) % (math.isqrt(n_buckets) + 2)
+
+
+def passed_on(packer: Packer) -> pa.Table:
+    """What a first meeting hands to the second: rows of SETTLED without spans."""
+    batch = packer.batch()
+    none = pa.nulls(batch.num_rows, pa.int64())
+    return pa.table([none, none, pa.nulls(batch.num_rows, pa.binary()), *batch.columns], names=SETTLED_NAMES)
+
+
+def reported(spans: pa.Table) -> pa.Table:
+    """Spans as rows of SETTLED."""
+    return pa.table([*spans.columns, pa.nulls(spans.num_rows, pa.int32()), pa.nulls(spans.num_rows, pa.binary())], names=SETTLED_NAMES)
+
+
+def met(packed: DataFrame, settle, n_buckets: int, frequent: bool) -> DataFrame:
+    """row_id, row_hash, span_blob: settle over all buckets; where there are frequent keys, over what salted buckets pass on, too.
+
+    What settled is written once, as both its spans and what is passed on are read.
+    """
+    spans = "row_id", "row_hash", "span_blob"
+    first = packed.groupBy("bucket").applyInArrow(settle, SETTLED)
+    if not frequent:
+        return first.select(*spans)
+    first = cut(first)
+    second = first.where("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(settle, SETTLED)
+    return first.where("payload is null").select(*spans).unionByName(second.select(*spans))
+
+
 def span_rows(row_id: np.ndarray, row_hash: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
     """One row per document: its spans as a blob of int32 (start, end), touching ones joined."""
     names = ["row_id", "row_hash", "span_blob"]
@@ -92,3 +151,15 @@ def merged(blobs: list[bytes] | None, n: int) -> np.ndarray:
     reach = np.maximum.accumulate(pairs[:, 1])
     head = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] > reach[:-1])))
     return np.stack((pairs[head, 0], reach[np.append(head[1:], len(pairs)) - 1]), axis=1)
+
+
+def frequent_keys(counts: DataFrame, least: int) -> np.ndarray:
+    """Keys (value, of counts value, n) found `least` times or more, sorted; of more than MOST_KEYS in reach, the limit rises with the rows.
+
+    A key that is found `limit` times takes that many of the rows counted, so there are at
+    most MOST_KEYS of them; all that a limit leaves out is rarer than one row in so many.
+    """
+    often = cut(counts.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    rows = often.agg(F.sum("n")).first()[0] or 0
+    found = often.where(F.col("n") >= max(least, -(-rows // MOST_KEYS))).select("value").toArrow()
+    return np.sort(found.column("value").to_numpy().astype(np.int64).view(np.uint64))

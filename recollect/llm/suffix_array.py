@@ -1,24 +1,28 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 The inducing scans go bucket by bucket: everything a bucket holds induces its predecessors
-at once, a stable sort by character deals them to their buckets, and the members that a
-bucket induces into itself (runs of one character) follow in rounds.  Leftmost-smaller (LMS)
-substrings are sorted by such a scan, named, and where names repeat the string of names is
-sorted the same way; a string over more than `FEW_NAMES` names is ranked by doubling, as
-its buckets would hold next to nothing.
+at once, a stable sort by character deals them to the free ends of their buckets, and the
+members that a bucket induces into itself (runs of one character) follow in rounds.
+Leftmost-smaller (LMS) substrings are sorted by such a scan, named, and where names repeat the
+string of names is sorted the same way.  Scans want few buckets, so a string over more than
+`FEW_NAMES` names is written with several digits a name, all of one length: suffixes that
+begin a name then come in the order of the names.  The recursion ends where names are all
+different, or with a string of at most `SHORT` names, or where it would hardly get shorter;
+there suffixes are ranked by their first 1, 2, 4, ... names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-FEW_NAMES = 1024
+FEW_NAMES = 512
+SHORT = 1 << 17
 #: Strings this short are sorted as they are.
 TINY = 32
 
 
-def suffix_array(text: np.ndarray, n_symbols: int, depth: int | None = None) -> np.ndarray:
-    """Suffixes of text (integers below n_symbols) in order, whatever `depth` is asked for.
+def suffix_array(text: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Suffixes of text (integers below n_symbols) in order, to their ends.
 
     An order that holds to a depth only isn't that of the suffixes one place on, and
     `permuted_common_prefixes` would carry prefixes that aren't shared.
@@ -39,10 +43,23 @@ def suffix_array(text: np.ndarray, n_symbols: int, depth: int | None = None) ->
     in_order = rough[is_lms[rough]]
     names, n_names = _names(text, lms, in_order)
     if n_names < len(lms):
-        in_order = lms[suffix_array(names, n_names)]
+        in_order = lms[_of_names(names, n_names, n)]
     return _induce(text, n_symbols, in_order)
 
 
+def _of_names(names: np.ndarray, n_names: int, n: int) -> np.ndarray:
+    """As suffix_array, for the string of names of a text of n symbols."""
+    digits = 1
+    while FEW_NAMES**digits < n_names:
+        digits += 1
+    if len(names) <= SHORT or 4 * digits * len(names) > 3 * n:
+        return _doubling(names)
+    base = next(b for b in range(max(2, int(n_names ** (1 / digits)) - 1), FEW_NAMES + 1) if b**digits >= n_names)
+    written = np.stack([names // base**k % base for k in reversed(range(digits))], axis=1).ravel()
+    order = suffix_array(written, base)
+    return order[order % digits == 0] // digits
+
+
 def _smaller_than_next(text: np.ndarray) -> np.ndarray:
     """Type of each suffix: True if it is smaller than the next one (the last is larger than the end)."""
     n = len(text)
@@ -76,50 +93,58 @@ def _names(text: np.ndarray, lms: np.ndarray, in_order: np.ndarray) -> tuple[np.
 
 def _induce(text: np.ndarray, n_symbols: int, lms_in_order: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in order."""
-    at = np.searchsorted(text[lms_in_order], np.arange(n_symbols + 1))
-    present = np.flatnonzero(np.bincount(text, minlength=n_symbols)).tolist()
-    waiting: list[list[np.ndarray]] = [[] for _ in range(n_symbols)]
-    waiting[text[-1]].append(np.array([len(text) - 1], dtype=np.int64))
-    larger: dict[int, np.ndarray] = {}
+    n = len(text)
+    size = np.bincount(text, minlength=n_symbols)
+    end = np.cumsum(size)
+    start, present = end - size, np.flatnonzero(size).tolist()
+    order, lms_in_order = np.empty(n, dtype=np.int32), lms_in_order.astype(np.int32)  # half the memory traffic
+    lms_at = np.searchsorted(text[lms_in_order], np.arange(n_symbols + 1)).tolist()
+    # suffixes larger than the next one, from the fronts of their buckets
+    free = start.copy()
+    order[free[text[-1]]] = n - 1
+    free[text[-1]] += 1
     for c in present:
-        larger[c] = found = _chain(text, c, waiting[c])
-        _deal(text, np.concatenate((found, lms_in_order[at[c] : at[c + 1]])), waiting, c, upwards=True)
-    waiting = [[] for _ in range(n_symbols)]
-    out = []
+        _chain(text, c, order, int(start[c]), free, 1)
+        _deal(text, c, np.concatenate((order[start[c] : free[c]], lms_in_order[lms_at[c] : lms_at[c + 1]])), order, free, 1)
+    # the others, from the backs
+    larger, free = free, end.copy()
     for c in reversed(present):
-        found = _chain(text, c, waiting[c])
-        both = np.concatenate((found, larger[c][::-1]))
-        _deal(text, both, waiting, c, upwards=False)
-        out.append(both)
-    return np.concatenate(out)[::-1]
-
-
-def _chain(text: np.ndarray, c: int, parts: list[np.ndarray]) -> np.ndarray:
-    """The parts and what they induce into their own bucket c, in the order of the scan."""
-    if not parts:
-        return np.zeros(0, dtype=np.int64)
-    now = np.concatenate(parts)
-    out = []
-    while len(now):
-        out.append(now)
+        _chain(text, c, order, int(end[c]), free, -1)
+        _deal(text, c, np.concatenate((order[free[c] : end[c]][::-1], order[start[c] : larger[c]][::-1])), order, free, -1)
+    return order.astype(np.int64)
+
+
+def _chain(text: np.ndarray, c: int, order: np.ndarray, low: int, free: np.ndarray, step: int) -> None:
+    """Let what bucket c has been given induce into the bucket itself."""
+    at = low
+    while at != free[c]:
+        now = order[at : free[c]] if step > 0 else order[free[c] : at][::-1]
+        at = int(free[c])
         before = now[now > 0] - 1
-        now = before[text[before] == c]
-    return np.concatenate(out)
+        before = before[text[before] == c]
+        if step > 0:
+            order[at : at + len(before)] = before
+        else:
+            order[at - len(before) : at] = before[::-1]
+        free[c] += step * len(before)
 
 
-def _deal(text: np.ndarray, scanned: np.ndarray, waiting: list[list[np.ndarray]], c: int, upwards: bool) -> None:
-    """Hand the predecessors of scanned suffixes to their (larger, or smaller) buckets."""
+def _deal(text: np.ndarray, c: int, scanned: np.ndarray, order: np.ndarray, free: np.ndarray, step: int) -> None:
+    """Hand the predecessors of scanned suffixes to their (larger, or smaller) buckets, at the free ends."""
     before = scanned[scanned > 0] - 1
     symbol = text[before]
-    chosen = symbol > c if upwards else symbol < c
+    chosen = symbol > c if step > 0 else symbol < c
     before, symbol = before[chosen], symbol[chosen]
     if not len(before):
         return
-    order = np.argsort(symbol, kind="stable")
-    before, symbol = before[order], symbol[order]
-    cuts = [0, *(np.flatnonzero(symbol[1:] != symbol[:-1]) + 1).tolist(), len(symbol)]
-    for x, y in zip(cuts, cuts[1:]):
-        waiting[symbol[x]].append(before[x:y])
+    by = np.argsort(symbol, kind="stable")
+    count = np.bincount(symbol, minlength=len(free))
+    sooner = np.cumsum(count) - count  # of smaller symbols
+    if step > 0:
+        order[np.repeat(free - sooner, count) + np.arange(len(by))] = before[by]
+    else:
+        order[np.repeat(free - 1 + sooner, count) - np.arange(len(by))] = before[by]
+    free += step * count
 
 
 def _doubling(text: np.ndarray) -> np.ndarray:

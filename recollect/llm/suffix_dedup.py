@@ -10,9 +10,12 @@ reaches 400 bytes is a repeat.  Covered bytes come back to their document as spa
 
 Skew.  A task sends equal strings of one block once, and reports their windows as they are.
 Anchors that a sample of documents shows to be very frequent are routed otherwise: their
-windows are cut at fixed distances from the anchor into short groups, which go to the bucket
-of the bytes that all windows of the group share.  The sample decides where windows meet,
-never whether.
+windows are cut at fixed distances from the anchor into short groups, which go by the bytes
+that all windows of the group share; where the sample shows very many different strings
+around the same bytes, as behind a passage that everyone has, windows go singly.  Both meet
+twice, first those of blocks with the same salt, then one of each different string, which
+knows whether it has been seen more than once.  The sample decides where windows meet, never
+whether.
 
 Rows are judged one by one: a repeated row repeats every byte of its text.  Null and empty
 texts have no bytes, and texts under 400 bytes no windows.
@@ -38,7 +41,9 @@ BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 1 << 19
 #: Windows in a group of a frequent anchor.
 GROUP_WINDOWS = 32
-SAMPLE_ONE_IN, FREQUENT, MOST_FREQUENT = 64, 64, 100_000
+#: One document in so many is looked at for frequent anchors; as often in the sample makes one
+#: frequent, and so many different strings around the same bytes are split up.
+SAMPLE_ONE_IN, FREQUENT, MANY_STRINGS = 64, 64, 4096
 #: Between strings of a shard; no byte of UTF-8.
 SEPARATOR = 0xFF
 
@@ -77,22 +82,41 @@ def _window_runs(value: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.n
     return a[whole], b[whole], row[whole]
 
 
-def frequent_anchors(rows: DataFrame, window: int) -> np.ndarray:
-    """Anchors that a fixed share of documents has often, most frequent first, a bounded number."""
+def frequent_anchors(rows: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that a fixed share of documents has often; and, of their groups, those with many different strings."""
 
     def count(batches):
-        for batch in batches:
-            buf, offs = _text.flat(batch.column(0))
-            for i, j in _text.slices(offs, BLOCK_BYTES):
-                value = anchors(buf[offs[i] : offs[j]], window)
-                a, _, _ = _window_runs(value, offs[i : j + 1] - offs[i], window)
-                found, n = np.unique(value[a], return_counts=True)
-                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
+        for part, offs, value in _sampled(batches, window):
+            a, _, _ = _window_runs(value, offs, window)
+            found, n = np.unique(value[a], return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64("row_id", "row_hash"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
-    counts = sample.mapInArrow(_text.frugal(count), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).select("value").toArrow()
-    return np.sort(top.column("value").to_numpy().astype(np.int64).view(np.uint64))
+    often = _packed.frequent_keys(sample.mapInArrow(_text.frugal(count), "value long, n long"), FREQUENT)
+    if not len(often):
+        return often, often
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+
+    def strings(batches):
+        for part, offs, value in _sampled(batches, window):
+            a, b, row = _window_runs(value, offs, window)
+            hot = np.isin(value[a], shared.value)
+            if hot.any():
+                ga, gb, _, key = _grouped(part, value, a[hot], b[hot], row[hot], window)
+                own = _text.byte_hashes(part, ga, gb + window)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(own.view(np.int64))], names=["value", "own"])
+
+    different = sample.mapInArrow(_text.frugal(strings), "value long, own long").distinct()
+    return often, _packed.frequent_keys(different.select("value", F.lit(1).cast("long").alias("n")), MANY_STRINGS)
+
+
+def _sampled(batches, window: int):
+    """(bytes, offsets, anchors) of the blocks of texts."""
+    for batch in batches:
+        buf, offs = _text.flat(batch.column(0))
+        for i, j in _text.slices(offs, BLOCK_BYTES):
+            part = buf[offs[i] : offs[j]]
+            yield part, offs[i : j + 1] - offs[i], anchors(part, window)
 
 
 def _grouped(buf: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray, window: int):
@@ -120,7 +144,8 @@ def _grouped(buf: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray, r
 def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """row_id, row_hash, span_blob: bytes inside windows that start anywhere else too."""
     n_buckets = buckets_for(rows, 6, BUCKET_BYTES)
-    frequent = rows.sparkSession.sparkContext.broadcast(frequent_anchors(rows, window))
+    often = frequent_anchors(rows, window)
+    frequent = rows.sparkSession.sparkContext.broadcast(often)
 
     def pack(batches):
         packer, often = _packed.Packer(), frequent.value
@@ -134,19 +159,38 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         if packer.size:
             yield packer.batch()
 
-    def settle(group: pa.Table) -> pa.Table:
+    def settle(key: tuple, group: pa.Table) -> pa.Table:
         (kind, row_id, row_hash, start, size, value), strings = _packed.gathered(group.column("payload").to_pylist())
+        if key[0].as_py() >= n_buckets:
+            return _first_meeting(kind, row_id, row_hash, start, size, value, strings, n_buckets)
         known = kind == 1
         found = [(row_id[known], row_hash[known], start[known].astype(np.int64), start[known].astype(np.int64) + size[known])]
         sent = ~known
         for record, low, high in repeats(strings, size[sent], value[sent], kind[sent] == 2, window):
             found.append((row_id[sent][record], row_hash[sent][record], start[sent][record] + low, start[sent][record] + high))
-        out = _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
+        out = _packed.reported(_packed.span_rows(*(np.concatenate(x) for x in zip(*found))))
         _text.release()
         return out
 
     packed = rows.select("text", "row_id", "row_hash").mapInArrow(_text.frugal(pack), "bucket int, payload binary")
-    return packed.groupBy("bucket").applyInArrow(settle, "row_id long, row_hash long, span_blob binary")
+    return _packed.met(packed, settle, n_buckets, len(often[0]) > 0)
+
+
+def _first_meeting(kind, row_id, row_hash, start, size, value, strings: bytes, n_buckets: int) -> pa.Table:
+    """Reports strings that occur twice or more, and passes on one of each."""
+    edges = np.concatenate(([0], np.cumsum(size, dtype=np.int64))).tolist()
+    each = [strings[a:b] for a, b in zip(edges, edges[1:])]
+    first_of: dict[tuple[int, bytes], int] = {}
+    lead = np.array([first_of.setdefault((v, s), k) for k, (v, s) in enumerate(zip(value.tolist(), each))], dtype=np.int64)
+    twice = kind == 2
+    twice[lead[lead != np.arange(len(lead))]] = True
+    again = np.flatnonzero(twice[lead])
+    out = _packed.reported(_packed.span_rows(row_id[again], row_hash[again], start[again], start[again] + size[again]))
+    own = np.unique(lead)
+    packer = _packed.Packer()
+    records = (np.where(twice[own], 2, 0).astype(np.int8), row_id[own], row_hash[own], start[own], size[own], value[own])
+    packer.add_sorted(_packed.bucket_of(value[own], n_buckets), records, [each[k] for k in own.tolist()])
+    return pa.concat_tables([out, _packed.passed_on(packer)])
 
 
 def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -> None:
@@ -154,10 +198,18 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
     a, b, row = _window_runs(value, offs, window)
     if not len(a):
         return
-    key = value[a]
-    if len(often) and (hot := np.isin(key, often)).any():
+    key, (anchors_often, groups_often) = value[a], often
+    hot = np.isin(key, anchors_often)
+    if hot.any():
         ga, gb, grow, gkey = _grouped(buf, value, a[hot], b[hot], row[hot], window)
+        many = np.isin(gkey, groups_often)
+        if many.any():  # each window by itself
+            n = (gb - ga + 1)[many]
+            single = np.repeat(ga[many], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ones = (single, single, np.repeat(grow[many], n), _text.byte_hashes(buf, single, single + window))
+            ga, gb, grow, gkey = (np.concatenate((x[~many], y)) for x, y in zip((ga, gb, grow, gkey), ones))
         a, b, row, key = (np.concatenate((x[~hot], y)) for x, y in ((a, ga), (b, gb), (row, grow), (key, gkey)))
+        hot = np.arange(len(a)) >= np.count_nonzero(~hot)
     raw = buf.tobytes()
     strings = [raw[x:y] for x, y in zip(a.tolist(), (b + window).tolist())]
     first_of: dict[bytes, int] = {}
@@ -166,7 +218,7 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
     twice = np.zeros(len(lead), dtype=bool)
     twice[lead[~own]] = True
     start, size = (a - offs[row]).astype(np.int32), (b + window - a).astype(np.int32)
-    bucket = (_text.mix(key.copy()) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = _packed.bucket_of(key, n_buckets)
     ids, hashes = row_id[row], row_hash[row]
     extra = np.flatnonzero(~own)
     if len(extra):
@@ -177,12 +229,9 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
         flat = np.concatenate(pairs).astype(np.int32)
         packer.add(int(bucket[extra[0]]), (np.ones(len(flat), np.int8), np.repeat(here.column(0).to_numpy(), n), np.repeat(here.column(1).to_numpy(), n), flat[:, 0], flat[:, 1] - flat[:, 0], np.zeros(len(flat), np.uint64)), b"")
     kind = np.where(twice, 2, 0).astype(np.int8)
+    bucket[hot] = _packed.salted(key[hot], _packed.salt_of(row_id, row_hash, n_buckets), n_buckets)
     sent = np.flatnonzero(own)
-    sent = sent[np.argsort(bucket[sent], kind="stable")]
-    cuts = [0, *(np.flatnonzero(np.diff(bucket[sent])) + 1).tolist(), len(sent)]
-    for x, y in zip(cuts, cuts[1:]):
-        s = sent[x:y]
-        packer.add(int(bucket[s[0]]), (kind[s], ids[s], hashes[s], start[s], size[s], key[s]), b"".join([strings[k] for k in s.tolist()]))
+    packer.add_sorted(bucket[sent], (kind[sent], ids[sent], hashes[sent], start[sent], size[sent], key[sent]), [strings[k] for k in sent.tolist()])
 
 
 def repeats(strings: bytes, size: np.ndarray, value: np.ndarray, twice: np.ndarray, window: int):
@@ -190,6 +239,8 @@ def repeats(strings: bytes, size: np.ndarray, value: np.ndarray, twice: np.ndarr
 
     twice: records that stand for more than one equal string already.
     """
+    if not len(size):
+        return
     offs = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
     order = np.argsort(value, kind="stable")
     cuts = [0, *(np.flatnonzero(np.diff(value[order])) + 1).tolist(), len(order)]

@@ -8,8 +8,10 @@ of those whose hashes agree, and reports every window that isn't the first of it
 
 Skew.  A task first drops windows that repeat one of its own block: their first occurrence
 travels, they are reported as they are.  Minimisers that a sample of documents shows to be
-very frequent are routed otherwise: their windows go singly to the bucket of the whole
-window's hash.  The sample decides where windows meet, never whether.
+very frequent are routed otherwise: their windows go singly by the whole window's hash, and
+meet twice, first those of blocks with the same salt, then the first occurrence of each salt.
+So a window that is everywhere sends one record a block to many buckets, and one record a
+salt to the last.  The sample decides where windows meet, never whether.
 
 A null doc_id sorts first; rows that repeat a doc_id and text are one document and share a
 result; rows that share a doc_id only are told apart by a hash of the text, and neither of
@@ -32,9 +34,8 @@ WINDOW = 20
 GRAM = 4
 BUCKET_BYTES = 6 << 20
 BLOCK_BYTES = 1 << 20
-#: One document in so many is looked at for frequent minimisers; as often in the sample
-#: makes one frequent; and at most so many are routed singly.
-SAMPLE_ONE_IN, FREQUENT, MOST_FREQUENT = 64, 64, 100_000
+#: One document in so many is looked at for frequent minimisers; as often in the sample makes one frequent.
+SAMPLE_ONE_IN, FREQUENT = 64, 64
 
 
 class Block:
@@ -91,7 +92,7 @@ def _runs(minimiser: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[
 
 
 def frequent_minimisers(rows: DataFrame, window: int) -> np.ndarray:
-    """Minimisers that a fixed share of documents has often, most frequent first, a bounded number."""
+    """Minimisers that a fixed share of documents has often."""
 
     def count(batches):
         for batch in batches:
@@ -105,15 +106,14 @@ def frequent_minimisers(rows: DataFrame, window: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64("row_id", "row_hash"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
-    counts = sample.mapInArrow(_text.frugal(count), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).select("value").toArrow()
-    return np.sort(top.column("value").to_numpy().astype(np.int64).view(np.uint64))
+    return _packed.frequent_keys(sample.mapInArrow(_text.frugal(count), "value long, n long"), FREQUENT)
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """row_id, row_hash, span_blob: words inside windows that start earlier elsewhere."""
     n_buckets = buckets_for(rows, 6, BUCKET_BYTES)
-    frequent = rows.sparkSession.sparkContext.broadcast(frequent_minimisers(rows, window))
+    often = frequent_minimisers(rows, window)
+    frequent = rows.sparkSession.sparkContext.broadcast(often)
 
     def pack(batches):
         packer, often = _packed.Packer(), frequent.value
@@ -127,7 +127,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         if packer.size:
             yield packer.batch()
 
-    def settle(group: pa.Table) -> pa.Table:
+    def settle(key: tuple, group: pa.Table) -> pa.Table:
         (kind, row_id, row_hash, start, size), text = _packed.gathered(group.column("payload").to_pylist())
         known = kind == 1
         found = [(row_id[known], row_hash[known], start[known], start[known] + size[known])]
@@ -139,14 +139,22 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         record = block.owner[first]
         begin = start[record] + first - block.woffs[record]
         at, end = block.starts[first], block.ends[first + window - 1]
-        late = _late(_text.gram_hashes(block.hash, window)[first], row_id[record], begin, _text.loads8(buf), at, end - at)
+        whole = _text.gram_hashes(block.hash, window)[first]
+        late = _late(whole, row_id[record], begin, _text.loads8(buf), at, end - at)
         found.append((row_id[record[late]], row_hash[record[late]], begin[late], begin[late] + window))
-        out = _packed.span_rows(*(np.concatenate(x) for x in zip(*found)))
+        out = _packed.reported(_packed.span_rows(*(np.concatenate(x) for x in zip(*found))))
+        if key[0].as_py() >= n_buckets:  # a first meeting: those that aren't late meet again
+            own = np.setdiff1d(np.arange(len(first)), late)
+            r, packer = record[own], _packed.Packer()
+            lines = [text[a:b] + b"\n" for a, b in zip(at[own].tolist(), end[own].tolist())]
+            zero = np.zeros(len(own), np.int32)
+            packer.add_sorted(_packed.bucket_of(whole[own], n_buckets), (zero.astype(np.int8), row_id[r], row_hash[r], begin[own].astype(np.int32), zero), lines)
+            out = pa.concat_tables([out, _packed.passed_on(packer)])
         _text.release()
         return out
 
     packed = rows.select("text", "row_id", "row_hash").mapInArrow(_text.frugal(pack), "bucket int, payload binary")
-    return packed.groupBy("bucket").applyInArrow(settle, "row_id long, row_hash long, span_blob binary")
+    return _packed.met(packed, settle, n_buckets, len(often) > 0)
 
 
 def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -> None:
@@ -167,7 +175,7 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
         pairs = [np.frombuffer(b, dtype="<i4").reshape(-1, 2) for b in here.column(2).to_pylist()]
         n = np.array([len(p) for p in pairs])
         pairs = np.concatenate(pairs).astype(np.int32)
-        bucket = int(_text.mix(ids[:1].view(np.uint64).copy())[0] % np.uint64(n_buckets))
+        bucket = int(_packed.bucket_of(ids[:1].view(np.uint64), n_buckets)[0])
         packer.add(bucket, (np.ones(len(pairs), np.int8), np.repeat(ids, n), np.repeat(hashes, n), pairs[:, 0], pairs[:, 1] - pairs[:, 0]), b"")
     keep = np.ones(len(first), dtype=bool)
     keep[late] = False
@@ -177,8 +185,8 @@ def _pack_block(packer, buf, offs, row_id, row_hash, n_buckets, often, window) -
     a, b = _runs(minimiser, first[~single], owner)
     key = minimiser[a]
     alone = first[single]
-    a, b, key = np.concatenate((a, alone)), np.concatenate((b, alone)), np.concatenate((key, whole[alone]))
-    bucket = (_text.mix(key.copy()) % np.uint64(n_buckets)).astype(np.int64)
+    a, b = np.concatenate((a, alone)), np.concatenate((b, alone))
+    bucket = np.concatenate((_packed.bucket_of(key, n_buckets), _packed.salted(whole[alone], _packed.salt_of(row_id, row_hash, n_buckets), n_buckets)))
     order = np.argsort(bucket, kind="stable")
     a, b, bucket = a[order], b[order], bucket[order]
     low, high = block.starts[a].tolist(), block.ends[b + window - 1].tolist()

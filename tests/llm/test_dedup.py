@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from recollect.llm import suffix_dedup, superkmer
+from recollect.llm import _packed, suffix_dedup, superkmer
+from recollect.llm import suffix_array as suffix_array_module
 from recollect.llm.suffix_array import suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,14 +62,16 @@ def brute_windows(rows, window):
     return out
 
 
-@pytest.mark.parametrize("frequent", [False, True])
+@pytest.mark.parametrize("frequent, many", [(False, False), (True, False), (True, True)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_substrings(spark, monkeypatch, seed, frequent):
+def test_substrings(spark, monkeypatch, seed, frequent, many):
     rows = corpus(seed)
-    if frequent:
-        values = [suffix_dedup.anchors(np.frombuffer((t or "").encode(), np.uint8), 400) for _, t, *_ in rows]
-        all_values = np.unique(np.concatenate(values))
-        monkeypatch.setattr(suffix_dedup, "frequent_anchors", lambda *_: all_values)
+    if frequent:  # every anchor is, and with `many` groups around the same bytes are split up where they differ
+        monkeypatch.setattr(suffix_dedup, "SAMPLE_ONE_IN", 1)
+        monkeypatch.setattr(suffix_dedup, "FREQUENT", 1)
+        monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)  # blocks of different salts
+        if many:
+            monkeypatch.setattr(suffix_dedup, "MANY_STRINGS", 2)
     got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA).repartition(5), digest=True).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in got} == brute_substrings(rows, 400)
     assert sum(r.n_removed for r in got) > 1000
@@ -81,6 +84,7 @@ def test_windows(spark, monkeypatch, seed, frequent):
     if frequent:
         monkeypatch.setattr(superkmer, "SAMPLE_ONE_IN", 1)
         monkeypatch.setattr(superkmer, "FREQUENT", 1)
+        monkeypatch.setattr(superkmer, "BLOCK_BYTES", 4000)
     got = superkmer.dedup_windows(spark.createDataFrame(rows, SCHEMA).repartition(5), digest=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_windows(rows, 20)
     assert sum(r.n_removed for r in got) > 100
@@ -102,12 +106,23 @@ def test_empty_tables(spark):
     assert superkmer.dedup_windows(none).count() == 0
 
 
-def test_suffix_array_matches_sorting():
+def test_the_number_of_frequent_keys_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(_packed, "MOST_KEYS", 3)
+    counts = spark.createDataFrame([(k, n) for k, n in enumerate([9, 9, 9, 40, 50, 1, 2])], "value long, n long")
+    assert _packed.frequent_keys(counts, 5).tolist() == [3, 4]
+    assert _packed.frequent_keys(counts, 45).tolist() == [4]
+
+
+@pytest.mark.parametrize("few, short", [(512, 1 << 17), (16, 8), (30, 40), (512, 8)])
+def test_suffix_array_matches_sorting(monkeypatch, few, short):
+    """With names written in digits, and recursions deeper than they need be."""
+    monkeypatch.setattr(suffix_array_module, "FEW_NAMES", few)
+    monkeypatch.setattr(suffix_array_module, "SHORT", short)
     rng = random.Random(3)
     for _ in range(60):
         k = rng.choice([1, 2, 3, 30])
-        t = np.array([rng.randrange(k) for _ in range(rng.randint(1, 300))] * rng.choice([1, 3]))
-        assert suffix_array(t, k, 1 << 30).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        t = np.array([rng.randrange(k) for _ in range(rng.randint(1, 400))] * rng.choice([1, 3]))
+        assert suffix_array(t, k).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
 @pytest.mark.parametrize("seed", [1, 2])
