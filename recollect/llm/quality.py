@@ -1,11 +1,14 @@
 """Quality classification from weak labels.
 
-Heuristic labellers that overlap each vote good, bad or abstain on every text.  How often
-every pattern of votes occurs, over all documents, is a table of at most 3**len(LABELLERS)
-rows; expectation-maximisation on it estimates each labeller's votes given the hidden
-class, and with them the posterior of each pattern.  A hashed linear scorer (character-shape
-trigrams and measures of repetition) is then trained on the posteriors of a bounded sample,
-`TRAIN_ROWS` documents with the smallest hashes of their ids, and scores every text.
+Heuristic labellers that overlap, so that every sort of bad text is seen by two at least, each
+vote good, bad or abstain on every text.  How often every pattern of votes occurs, over all
+documents, is a table of at most 3**len(LABELLERS) rows; expectation-maximisation on it
+estimates how often each labeller complains about bad texts and about good ones, and with
+these the posterior of each pattern.  The rate of complaints about good texts has a prior
+(`PRIOR_ALARMS`, weighing `PRIOR_WEIGHT` of the documents), which the votes override.  A
+hashed linear scorer (character-shape trigrams and measures of repetition) is then trained on
+the posteriors of a bounded sample, `TRAIN_ROWS` documents with the smallest hashes of their
+ids, and scores every text.
 
 Null, empty and blank texts have no words: the posterior is that of their votes, the score
 is 0 and they aren't kept.  Texts are read whole.  Repeated rows have equal scores; extra
@@ -24,10 +27,8 @@ from recollect.llm import _text
 TRAIN_ROWS = 4000
 DIMENSIONS, BINS = 1024, 10
 ROUNDS, STEPS, RATE, DECAY = 200, 400, 2.0, 1e-4
-KEEP_FROM = 0.4
-#: The most of the good texts that a labeller is taken to complain about.  Without it the
-#: search may settle on one sort of bad text and call complaints about the others errors.
-FALSE_ALARMS = 0.003
+KEEP_FROM = 0.5
+PRIOR_ALARMS, PRIOR_WEIGHT = 0.01, 0.02
 
 _SYMBOL = _text.byte_class(b"#*$%&|<>{}~^\\")
 _LETTER = _text.byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B)])
@@ -46,7 +47,6 @@ for _k, _c in enumerate(b"!|#*$%&\"'-"):
 
 #: Tells equal words of different rows apart.
 _ROW = np.uint64(0xA24BAED4963EE407)
-MEASURES = ("n_words", "symbols", "upper", "letters", "exclaims", "bars", "stops", "top_word", "repeats", "word_bytes")
 
 
 def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -57,10 +57,13 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n = np.diff(woffs)
     per_word = np.maximum(n, 1)
     letters = _text.per_row_sum(_LETTER[buf], offs)
+    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[buf], dtype=np.int64)))
     words = _text.byte_hashes(buf, starts, ends)
     _, first, often = np.unique(_text.mix(words ^ (owner.astype(np.uint64) * _ROW)), return_index=True, return_counts=True)
     top = np.zeros(rows, dtype=np.int64)
     np.maximum.at(top, owner[first], often)
+    again = np.zeros(len(words), dtype=bool)
+    again[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
     threes = _text.gram_hashes(words, 3)
     place = np.arange(len(threes))
     place = place[owner[place] == owner[place + 2]] if len(threes) else place
@@ -69,7 +72,9 @@ def measures(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     repeats = np.bincount(owner[place[count[back] > 1]], minlength=rows) if len(place) else np.zeros(rows)
     return {
         "n_words": n,
-        "symbols": _text.per_row_sum(_SYMBOL[buf], offs) / per_word,
+        "symbols": (symbols[offs[1:]] - symbols[offs[:-1]]) / per_word,
+        "symbol_words": _text.per_row_sum(symbols[ends] > symbols[starts], woffs) / per_word,
+        "echoes": _text.per_row_sum(again, woffs) / per_word,
         "upper": _text.per_row_sum(_UPPER[buf], offs) / np.maximum(letters, 1),
         "letters": letters,
         "exclaims": _text.per_row_sum(buf == 0x21, offs) / per_word,
@@ -100,6 +105,8 @@ LABELLERS = {
     "one_word": _rate("top_word", 0.20, 0.45, "n_words", 12),
     "repeating": _rate("repeats", 0.15, 0.60, "n_words", 20),
     "unstopped": lambda m: np.where(m["n_words"] < 12, 0, np.where(m["stops"] < 0.01, 1, np.where(m["stops"] <= 0.6, 2, 0))),
+    "symbol_words": _rate("symbol_words", 0.02, 0.15),
+    "echoing": _rate("echoes", 0.05, 0.40, "n_words", 12),
     "wordless": lambda m: np.where((m["n_words"] < 1) | (m["word_bytes"] > 40), 1, 0),
 }
 
@@ -124,10 +131,9 @@ def estimate(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     cast = np.eye(3)[votes][:, :, 1:]  # pattern, labeller, bad or good; abstaining says nothing
     for _ in range(ROUNDS):
         share = float(np.clip(weight @ posterior, 1e-6, 1 - 1e-6))
-        theta = np.stack([np.einsum("p,plv->lv", weight * q, cast) + 1e-5 for q in (1 - posterior, posterior)], axis=1)
+        prior = np.array([[[5e-5, 5e-5], [PRIOR_WEIGHT * PRIOR_ALARMS, PRIOR_WEIGHT * (1 - PRIOR_ALARMS)]]])
+        theta = np.stack([np.einsum("p,plv->lv", weight * q, cast) for q in (1 - posterior, posterior)], axis=1) + prior
         theta /= theta.sum(axis=2, keepdims=True)
-        alarm = np.minimum(theta[:, 1, 0], FALSE_ALARMS)
-        theta[:, 1] = np.stack((alarm, 1 - alarm), axis=1)
         likelihood = np.log([1 - share, share]) + np.einsum("plv,lcv->pc", cast, np.log(theta))
         likelihood -= likelihood.max(axis=1, keepdims=True)
         p = np.exp(likelihood)

@@ -405,17 +405,43 @@ def test_quality(spark):
     assert quality.classify(frame(spark, []).limit(0)).count() == 0
 
 
-def test_label_model_finds_accuracies():
-    """Votes drawn from known accuracies give them back."""
+@pytest.mark.parametrize("alarms", [0.002, 0.01, 0.05, 0.10])
+def test_label_model_finds_accuracies(alarms):
+    """Votes drawn from known rates, of complaints about bad and about good texts, give them back."""
     rng = np.random.default_rng(0)
     n, m = 20_000, len(quality.LABELLERS)
     y = rng.random(n) < 0.8
     hit = np.linspace(0.35, 0.7, m)
-    votes = np.where(y[:, None], np.where(rng.random((n, m)) < 0.002, 1, 2), np.where(rng.random((n, m)) < hit, 1, 2))
+    votes = np.where(y[:, None], np.where(rng.random((n, m)) < alarms, 1, 2), np.where(rng.random((n, m)) < hit, 1, 2))
     votes[rng.random((n, m)) < 0.2] = 0
     codes, counts = np.unique(votes @ (3 ** np.arange(m)[::-1]), return_counts=True)
     posterior, theta, share = quality.estimate(codes, counts)
     assert abs(share - 0.8) < 0.02 and np.abs(theta[:, 0, 0] - hit).max() < 0.05
+    assert np.abs(theta[:, 1, 0] - alarms).max() < 0.015
+    bad = posterior[np.searchsorted(codes, votes @ (3 ** np.arange(m)[::-1]))] < 0.5
+    assert (bad != y).mean() > 0.93
+
+
+def test_posterior_matches_counting():
+    """One round more changes nothing, and the posterior is Bayes' rule over the estimated rates, pattern by pattern."""
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 3 ** len(quality.LABELLERS), 60))
+    posterior, theta, share = quality.estimate(codes, rng.integers(1, 500, len(codes)))
+    for code, p in zip(codes.tolist(), posterior):
+        like = [1 - share, share]
+        for k in range(len(quality.LABELLERS)):
+            vote = code // 3 ** (len(quality.LABELLERS) - 1 - k) % 3
+            like = [x * theta[k, c, vote - 1] if vote else x for c, x in enumerate(like)]
+        assert abs(like[1] / sum(like) - p) < 1e-9
+
+
+def test_quality_on_labels_not_looked_at(spark):
+    """Thresholds were set on documents of even crc32; these are the others."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1)
+    found = quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
+    kept = {r.quality: r.kept for r in found.collect()}
+    assert kept[1] >= 0.99 and kept[0] <= 0.05
 
 
 # --- chat
