@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +10,10 @@ from recollect.functions import text as tx
 from recollect.functions.weights import BASE_WEIGHT, TYPE_MULTIPLIER
 from recollect.operators import budget, extract, graph, merge, policies, project, retrieve, segment, similar, symbols, tables, telemetry
 from recollect.plans import views
+from recollect.plans.registry import query
 from recollect.plans.views import millis, table
 from recollect.sources import diffs, transcripts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Pieces of SQL that several queries share.
 _STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + ")"
 

@@ -9,7 +9,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from recollect.plans import queries
+from recollect.plans import registry as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
