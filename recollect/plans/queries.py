@@ -455,20 +455,15 @@ def import_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, 100000000 + l_orderkey AS o FROM lineitem WHERE l_quantity >= 50),
-b AS (SELECT p AS u, o AS v FROM l UNION SELECT o, p FROM l),
-w AS (SELECT u AS node, u AS label FROM b UNION SELECT b.v, w.label FROM w JOIN b ON b.u = w.node WHERE w.label < b.v)
-SELECT node, min(label) AS label FROM w GROUP BY node
+WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, 100000000 + l_orderkey AS o FROM lineitem),
+b AS (SELECT p AS u, o AS v FROM l UNION ALL SELECT o, p FROM l),
+w(node, label) USING KEY (node) AS (
+  SELECT u, min(v) AS label FROM (SELECT u, u AS v FROM b UNION ALL SELECT u, v FROM b) GROUP BY u
+  UNION SELECT x.node, min(y.label) FROM w AS y JOIN b ON b.u = y.node JOIN recurring.w AS x ON x.node = b.v WHERE y.label < x.label GROUP BY x.node)
+SELECT node, label FROM w
 """)
 def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and orders joined by large lines, by the smallest part they can reach."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 100_000_000).alias("b"))
-    return graph.components(lines)
-
-
-@query()
-def linked_groups_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and orders joined by any line, by the smallest part they can reach; `linked_groups` is bound to its SQL."""
+    """Parts and orders joined by lines, by the smallest part they can reach."""
     return graph.components(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 100_000_000).alias("b")))
 
 

@@ -56,7 +56,7 @@ def test_linked_groups_of_all_lines(spark, tmp_path):
     for _ in label:
         for p, o, _ in lines:
             label[p] = label[100_000_000 + o] = min(label[p], label[100_000_000 + o])
-    assert {r.node: r.label for r in entry.queries()["linked_groups_of_all"](spark, str(tmp_path)).collect()} == label
+    assert {r.node: r.label for r in entry.queries()["linked_groups"](spark, str(tmp_path)).collect()} == label
 
 
 @pytest.mark.parametrize("pipeline", [True, False])
