@@ -115,33 +115,45 @@ def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top(found, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""
-WITH {_BM25},
+_HYBRID = f"""{_BM25},
 lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS bm25_rank FROM bm QUALIFY bm25_rank <= 20),
 vec AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS cosine
   FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings v),
 den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS dense_rank FROM vec QUALIFY dense_rank <= 20),
-fused AS (SELECT query_id, id, dense_rank, bm25_rank, coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + bm25_rank), 0.0) AS rrf FROM den FULL JOIN lex USING (query_id, id))
-SELECT query_id, id, CAST(dense_rank AS INT) AS dense_rank, CAST(bm25_rank AS INT) AS bm25_rank, round(rrf / (2.0 / 61), 4) AS score,
-  CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS INT) AS rank FROM fused QUALIFY rank <= 8
-""")
-def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+fused AS (SELECT query_id, id, dense_rank, bm25_rank, cosine, coalesce(1.0 / (60 + dense_rank), 0.0) + coalesce(1.0 / (60 + bm25_rank), 0.0) AS rrf FROM den FULL JOIN lex USING (query_id, id)),
+hybrid AS (SELECT query_id, id, CAST(dense_rank AS INT) AS dense_rank, CAST(bm25_rank AS INT) AS bm25_rank, cosine, round(rrf / (2.0 / 61), 4) AS score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS INT) AS rank FROM fused QUALIFY rank <= 8)"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and vectors fused by rank: item k asks with its text and with vector k."""
     lexical = retrieve.top(_bm25(spark, sf_dir).withColumn("score", F.round("score", 9)), 20)
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     asked = v.join(items, "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
     near = retrieve.dense(v, asked, 20, least=-2.0).withColumn("score", F.round("score", 9)).drop("rank")
-    return retrieve.fuse(retrieve.top(near, 20), lexical, 8).select("query_id", "id", "dense_rank", "bm25_rank", "score", "rank")
+    return retrieve.fuse(retrieve.top(near, 20), lexical, 8)
 
 
-@query()
+@query(f"WITH {_HYBRID} SELECT query_id, id, dense_rank, bm25_rank, score, rank FROM hybrid")
+def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir).select("query_id", "id", "dense_rank", "bm25_rank", "score", "rank")
+
+
+@query(f"""
+WITH {_HYBRID},
+h AS (SELECT hybrid.*, {_tokens("b.text")} AS q, {_tokens("d.text")} AS d FROM hybrid JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id),
+s AS (SELECT *, len(list_intersect(q, d)) AS shared, len(q) AS nq, len(d) AS nd FROM h),
+n AS (SELECT * FROM s WHERE nq = 0 OR NOT ((nd > 0 AND shared / (nq + nd - shared) >= 0.6) OR (nd > 0 AND shared / nd >= 0.8))),
+a AS (SELECT *, bool_or(dense_rank IS NOT NULL) OVER w AS has_dense, bool_or(bm25_rank IS NOT NULL) OVER w AS has_text FROM n WINDOW w AS (PARTITION BY query_id)),
+ok AS (SELECT * FROM a WHERE CASE WHEN has_dense AND has_text THEN dense_rank <= 5 AND bm25_rank <= 5 AND shared >= 2 WHEN has_text THEN bm25_rank <= 2 AND shared >= 3 WHEN has_dense THEN dense_rank <= 2 AND cosine >= 0.60 ELSE false END)
+SELECT query_id, id, rank, score FROM ok QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 2
+""")
 def gated_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the fused hits has enough evidence to be shown unasked."""
-    hits = hybrid_recall(spark, sf_dir).withColumn("cosine", F.lit(None).cast("double"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
     prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("prompt"))
-    shown = retrieve.evidence_gate(retrieve.without_echoes(hits.join(docs, "id").join(prompts, "query_id")))
+    shown = retrieve.evidence_gate(retrieve.without_echoes(_hybrid(spark, sf_dir).join(docs, "id").join(prompts, "query_id")))
     return shown.select("query_id", "id", "rank", "score")
 
 
@@ -325,7 +337,11 @@ def delta_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("session_id").cast("long").alias("conv_id"), "is_delta", F.size(F.split("stored", "\n")).cast("long").alias("new_lines"), "new_line_count")
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT p_brand AS session_id, 'src/services/f' || p_partkey || '.py' AS path, ['added', 'modified', 'deleted', 'renamed'][p_partkey % 4 + 1] AS change_type, p_size AS lines_changed FROM part)
+SELECT session_id, path, change_type, lines_changed, 'service layer' AS intent, round(0.5 + least(0.4, lines_changed / 200.0), 6) AS weight,
+  {_hash("'COMPONENT_STATUS'", "(path || ' ' || change_type || ' (' || lines_changed || ' lines)')")} AS content_hash FROM c
+""")
 def diff_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as changed files of a diff per brand, and the events of those changes."""
     p = table(spark, sf_dir, "part")
