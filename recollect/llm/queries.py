@@ -55,7 +55,8 @@ def op9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(table(spark, sf_dir, "documents"))
+    found = rules.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language, op3_substrings, op4_secrets, op5_bpe, op6_simhash, op7_quality, op8_chat, op9_windows, op10_rules)}
@@ -131,4 +132,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-SQL = {"op1_decontaminate": _CONTAMINATION_SQL, "op9_windows": _WINDOWS_SQL, "op8_chat": _CHAT_SQL.format(escaped=_escaped_sql("text"))}
+_SUBSTRINGS_SQL = f"""
+WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents
+), starts AS (SELECT doc_id, t, unnest(range(1, octet_length(t) - {suffix_dedup.WINDOW - 2})) AS i FROM texts WHERE octet_length(t) >= {suffix_dedup.WINDOW}
+), windows AS (SELECT doc_id, i, md5(array_slice(t, i, i + {suffix_dedup.WINDOW - 1})) AS h FROM starts
+), again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM windows SEMI JOIN again USING (h)
+), runs AS (SELECT doc_id, i, sum(CASE WHEN gap <= {suffix_dedup.WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits
+), spans AS (SELECT doc_id, min(i) AS a, max(i) + {suffix_dedup.WINDOW} AS b FROM runs GROUP BY doc_id, run
+), listed AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY doc_id
+), cut AS (SELECT doc_id, t, coalesce(n, 0) AS n, coalesce(removed, 0) AS removed, list_prepend(CAST(1 AS BIGINT), coalesce(ends, [])) AS after, list_append(coalesce(starts, []), octet_length(t) + 1) AS before FROM texts LEFT JOIN listed USING (doc_id))
+SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans,
+  sha256(list_reduce([array_slice(t, x, before[k] - 1) FOR x, k IN after], lambda x, y: x || y)) AS kept_sha256 FROM cut
+"""
+
+
+def _rules_sql() -> str:
+    """Words, lines and their repeats; coverage of n-grams one length after the other."""
+    words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    leads = ", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, max(rules.GRAM_LIMITS)))
+    steps = [f"""d AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents),
+c AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d), p AS (SELECT doc_id, i, word AS w0, {leads} FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+ll AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS again FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dl AS (SELECT doc_id, count(*) FILTER (again > 1) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) FILTER (again > 1), 0) AS dup_chars FROM ll GROUP BY doc_id)"""]
+    for n in (3, *rules.GRAM_LIMITS):
+        gram = " || ' ' || ".join(f"w{k}" for k in range(n))
+        steps.append(f"""g{n} AS (SELECT doc_id, i, md5({gram}) AS g FROM p WHERE w{n - 1} IS NOT NULL),
+r{n} AS (SELECT doc_id, g FROM g{n} GROUP BY ALL HAVING count(*) > 1),
+h{n} AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM g{n} SEMI JOIN r{n} USING (doc_id, g)) JOIN c USING (doc_id, i) GROUP BY doc_id)""")
+    within = " AND ".join(f"coalesce(h{n}.chars, 0) <= {limit} * greatest(word_chars, 1)" for n, limit in rules.GRAM_LIMITS.items())
+    joins = " ".join(f"LEFT JOIN h{n} USING (doc_id)" for n in (3, *rules.GRAM_LIMITS))
+    failed = f"(n_words < {rules.MIN_WORDS} OR 100 * coalesce(h3.n, 0) > {rules.REPEAT_PERCENT} * n_words)"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(h3.n, 0) AS n_repeat_words, {failed} AS base_failed,
+  NOT {failed} AND {within} AND coalesce(dup_chars, 0) <= {rules.LINE_CHARS_LIMIT} * greatest(word_chars, 1) AND n_symbols <= {rules.SYMBOLS_PER_WORD_LIMIT} * n_words AS kept
+FROM m LEFT JOIN dl USING (doc_id) {joins}"""
+
+
+SQL = {
+    "op1_decontaminate": _CONTAMINATION_SQL,
+    "op3_substrings": _SUBSTRINGS_SQL,
+    "op8_chat": _CHAT_SQL.format(escaped=_escaped_sql("text")),
+    "op9_windows": _WINDOWS_SQL,
+    "op10_rules": _rules_sql(),
+}
