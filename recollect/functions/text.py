@@ -82,12 +82,13 @@ def json_string(c: Column) -> Column:
     """c as a JSON string of ASCII alone: what is not goes as \\uXXXX, beyond the first plane as two of them."""
     short = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
-    def ascii_only(ch: Column) -> Column:
-        wide = F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
-        return F.when(F.octet_length(ch) > 1, wide).when(ch < F.lit(" "), wide).otherwise(ch)
+    def ascii_only(run: Column) -> Column:
+        wide = F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        return F.when(run.rlike(r"^[\x20-\x7f]"), run).otherwise(wide)
 
-    plain = short.rlike(r"^[\x20-\x7e]*$")
-    return F.concat(F.lit('"'), F.when(plain, short).otherwise(F.array_join(F.transform(F.split(short, ""), ascii_only), "")), F.lit('"'))
+    plain = short.rlike(r"^[\x20-\x7f]*$")
+    runs = F.regexp_extract_all(short, F.lit(r"([\x20-\x7f]+|[^\x20-\x7f]+)"), F.lit(1))
+    return F.concat(F.lit('"'), F.when(plain, short).otherwise(F.array_join(F.transform(runs, ascii_only), "")), F.lit('"'))
 
 
 def content_hash(event_type: Column, description: Column) -> Column:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.similarity import jaccard
 from recollect.functions.statements import PROHIBITION, prohibition_priority
 from recollect.functions.text import fold_stems, overlap_tokens, query_terms
+from recollect.plans.checkpoints import cut
 
 # Fixed values.
 K1, B = 1.2, 0.75
@@ -33,23 +35,20 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """id, term, tf, length of docs (id, text)."""
-    terms = docs.select("id", index_terms(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    return terms.select("id", "length", F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, score (higher is better) of docs (id, text) for queries (query_id, text), terms OR-ed.
 
-    The corpus is reduced to the queries' terms before anything is counted or joined; a
-    document's length is taken on the way.
+    Terms that no query has go before anything is counted, and what is left is written once,
+    as both frequencies and scores read it; lengths take a pass of their own.
     """
     asked = queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term")).distinct()
-    lengths = docs.select("id", F.size(index_terms(F.col("text"))).alias("length"))
+    lengths = docs.select(F.size(index_terms(F.col("text"))).alias("length"))
     stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avgdl"))
-    wanted = F.broadcast(asked.select("term").distinct()) if _few(asked) else asked.select("term").distinct()
-    hits = postings(docs).join(wanted, "term")
+    wanted = asked.select("term").distinct()
+    terms = docs.select("id", index_terms(F.col("text")).alias("terms"))
+    each = terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    held = each.join(F.broadcast(wanted) if few(wanted) else wanted, "term", "left_semi")
+    hits = cut(held.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("holding"))
     idf = F.log((F.col("docs") - F.col("holding") + 0.5) / (F.col("holding") + 0.5))
     rated = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.when(idf > 0, idf).otherwise(LEAST_IDF))  # one row of statistics
@@ -57,9 +56,12 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.join(asked, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
-def _few(df: DataFrame, most: int = 100_000) -> bool:
-    """Whether df has so few rows that each task may hold them."""
-    return df.limit(most + 1).count() <= most
+def few(df: DataFrame, most: int = 100_000, most_bytes: int = 16 << 20) -> bool:
+    """Whether df has so few rows, of so few bytes in its texts, that each task may hold them."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    rows, n_bytes = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= most and n_bytes <= most_bytes
 
 
 def top(scored: DataFrame, n: int, score: str = "score", by: str = "query_id") -> DataFrame:
@@ -68,15 +70,53 @@ def top(scored: DataFrame, n: int, score: str = "score", by: str = "query_id") -
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
-def token_overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score: Jaccard of content words, above 0."""
-    d = docs.select("id", overlap_tokens(F.col("text")).alias("dt"))
-    q = queries.select("query_id", overlap_tokens(F.col("text")).alias("qt")).where(F.size("qt") > 0)
-    shared = d.select("id", F.size("dt").alias("nd"), F.explode("dt").alias("token"))
-    asked = q.select("query_id", F.size("qt").alias("nq"), F.explode("qt").alias("token"))
-    asked = F.broadcast(asked) if _few(asked) else asked
-    both = shared.join(asked, "token").groupBy("query_id", "id", "nd", "nq").agg(F.count(F.lit(1)).alias("both"))
-    return both.select("query_id", "id", (F.col("both") / (F.col("nd") + F.col("nq") - F.col("both"))).alias("score"))
+def token_overlap(docs: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query_id, id, score, rank: the k largest Jaccard similarities of content words, above 0, of docs (id, text) for queries (query_id, text).
+
+    Queries are taken in blocks of a fixed number, whose words tasks multiply their batches'
+    words with, as in `dense`: pairs never leave a task but for its own best.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), overlap_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    chosen = docs.select(F.col("id").cast("long").alias("id"), overlap_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    n_blocks = max(1, -(-q.count() // block))
+    sc, found = docs.sparkSession.sparkContext, None
+    for n in range(n_blocks):
+        rows = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == n) if n_blocks > 1 else q).toArrow()
+        if not rows.num_rows:
+            continue
+        shared = sc.broadcast((rows.column("query_id").to_numpy(), rows.column("tokens").combine_chunks()))
+        part = chosen.mapInArrow(lambda batches, b=shared: _best_overlaps(batches, b.value, k), "query_id long, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return chosen.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return top(found, k)
+
+
+def _best_overlaps(batches, queries, k: int):
+    ids, tokens = queries
+    words = tokens.flatten().unique()
+    n_words = np.diff(tokens.offsets.to_numpy())
+    holds = np.zeros((len(words), len(ids)), dtype=np.float32)  # word by query
+    holds[pa.compute.index_in(tokens.flatten(), words).to_numpy(), np.repeat(np.arange(len(ids)), n_words)] = 1
+    for batch in batches:
+        own, lists = batch.column(0).to_numpy(), batch.column(1)
+        for a in range(0, len(own), 256):
+            part = lists.slice(a, 256)
+            size = pa.compute.list_value_length(part).to_numpy()
+            at = pa.compute.index_in(part.flatten(), words)
+            row = np.repeat(np.arange(len(part)), size)[at.is_valid().to_numpy(zero_copy_only=False)]
+            held = np.zeros((len(part), len(words)), dtype=np.float32)
+            held[row, at.drop_null().to_numpy()] = 1
+            both = np.rint(held @ holds).astype(np.int64).T  # query by document
+            scores = both / (n_words[:, None] + size[None, :] - both)
+            yield _kept(ids, own[a : a + 256], scores, k, np.nextafter(0.0, 1.0))
+
+
+def _kept(ids: np.ndarray, own: np.ndarray, scores: np.ndarray, k: int, least: float) -> pa.RecordBatch:
+    """The k best of each query, and whatever ties with the last of them: which of these stays is decided by id, over all batches."""
+    bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)
+    q, v = np.nonzero((scores >= bound[:, None]) & (scores >= least))
+    return pa.record_batch([pa.array(ids[q]), pa.array(own[v]), pa.array(scores[q, v])], names=["query_id", "id", "score"])
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.0, block: int = 4096) -> DataFrame:
@@ -109,12 +149,7 @@ def _best_of_batches(batches, queries, k: int, least: float):
         own = batch.column(0).to_numpy()
         flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if len(own) else np.zeros((0, matrix.shape[1]))
         for a in range(0, len(own), 4096):
-            scores = matrix @ flat[a : a + 4096].T
-            part = own[a : a + 4096]
-            # ties at the k-th place all go on: which of them stays is decided by id, over all batches
-            bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), -np.inf)
-            q, v = np.nonzero((scores >= bound[:, None]) & (scores >= least))
-            yield pa.record_batch([pa.array(ids[q]), pa.array(part[v]), pa.array(scores[q, v])], names=["query_id", "id", "score"])
+            yield _kept(ids, own[a : a + 4096], matrix @ flat[a : a + 4096].T, k, least)
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, k: int) -> DataFrame:

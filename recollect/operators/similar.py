@@ -4,16 +4,21 @@ Texts with the same tokens are one class before anything is joined.  A class is
 its rarest tokens only: two sets with Jaccard t share a token among the first
 n - ceil(t n) + 1 of each, tokens in one global order from rare to frequent.  Lengths prune
 further, and what is left is verified on the whole sets.  Rare tokens have short lists, so no
-list holds a large share of the rows.
+list holds a large share of the rows.  Any one order is exact; how frequent the frequent
+tokens are is a table of bounded size, and each set is ranked where it is.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.similarity import jaccard
 from recollect.functions.text import overlap_tokens
+from recollect.operators.retrieve import few
 from recollect.plans.checkpoints import cut
 
 
@@ -31,19 +36,45 @@ def token_classes(texts: DataFrame, id_col: str, text_col: str, block: tuple[str
     return members, classes.select("class_id", *block, "tokens")
 
 
-def _ranked(classes: DataFrame, block: tuple[str, ...]) -> DataFrame:
-    """classes with their tokens from rare to frequent."""
-    each = classes.select("class_id", *block, F.explode("tokens").alias("token"))
-    frequency = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    placed = each.join(frequency, "token").groupBy("class_id", *block)
-    order = F.array_sort(F.collect_list(F.struct("df", "token")))
-    return placed.agg(F.transform(order, lambda x: x["token"]).alias("ranked"))
+#: At most so many tokens have a rank by how frequent they are; all others are rarer, and rank before them.
+MOST_RANKED, LEAST_RANKED = 1 << 19, 8
 
 
-def _posted(ranked: DataFrame, least: float, block: tuple[str, ...]) -> DataFrame:
-    n = F.size("ranked")
-    prefix = n - F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int") + 1
-    return ranked.select("class_id", *block, n.alias("n"), F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("at", "token"))
+def _frequent(classes: DataFrame) -> pa.Table:
+    """Tokens of many classes, with how many hold them; the least number rises with the rows, so the table is bounded."""
+    counted = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= LEAST_RANKED)
+    counted = cut(counted)
+    rows = counted.agg(F.sum("df")).first()[0] or 0
+    return counted.where(F.col("df") >= max(LEAST_RANKED, -(-rows // MOST_RANKED))).toArrow()
+
+
+def _posted(classes: DataFrame, least: float, block: tuple[str, ...], frequent: pa.Table) -> DataFrame:
+    """class_id, block, n, at, token: the tokens under which classes are posted, their places and the number of all.
+
+    Ranked from rare to frequent where they are, row by row: no token travels but those posted.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(frequent)
+    chosen = classes.select("class_id", *block, "tokens")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+
+    def run(batches):
+        known, df = shared.value.column("token").combine_chunks(), shared.value.column("df").to_numpy()
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat, n = lists.flatten(), pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+            found = pa.compute.index_in(flat, known)
+            often = np.zeros(len(flat), dtype=np.int64)
+            held = found.is_valid().to_numpy(zero_copy_only=False)
+            often[held] = df[found.drop_null().to_numpy()]
+            row = np.repeat(np.arange(len(n)), n)
+            # the lists are sorted, so places break ties as the tokens themselves do
+            order = np.lexsort((np.arange(len(flat)), often, row))
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            few = at < np.repeat(n - np.ceil(n * least - 1e-9).astype(np.int64) + 1, n)
+            rows = [c.take(pa.array(row[few])) for c in batch.columns[:-1]]
+            yield pa.record_batch([*rows, pa.array(np.repeat(n, n)[few]), pa.array(at[few]), flat.take(pa.array(order[few]))], names=["class_id", *block, "n", "at", "token"])
+
+    return chosen.mapInArrow(run, f"{schema}, n long, at long, token string")
 
 
 def similar_pairs(classes: DataFrame, least: float, block: tuple[str, ...] = ()) -> DataFrame:
@@ -52,7 +83,7 @@ def similar_pairs(classes: DataFrame, least: float, block: tuple[str, ...] = ())
     Only sizes and places travel with the posted tokens; whole sets meet for the pairs that
     are left.
     """
-    posted = cut(_posted(_ranked(classes, block), least, block))  # both sides of the join read it
+    posted = cut(_posted(classes, least, block, _frequent(classes)))  # both sides of the join read it
     left = posted.select(*block, "token", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
     right = posted.select(*block, "token", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     n, m = F.col("na"), F.col("nb")
@@ -78,25 +109,22 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, least: float =
 def best_matches(texts: DataFrame, items: DataFrame, least: float = 0.6) -> DataFrame:
     """id, n_items, best of texts (id, text) against items (item_id, text): how many reach the bound, and the best Jaccard.
 
-    A similar item shares a token with the text's prefix, in the items' order of rarity, so
-    only prefixes are joined.
+    A text of n tokens that is similar to an item has least * n tokens of the items'
+    vocabulary; the others go before tokens travel.  A similar item shares a token with the
+    text's prefix, in the items' order of rarity, so only prefixes are joined.
     """
     t = texts.select("id", F.array_sort(overlap_tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
     i = items.select("item_id", F.array_sort(overlap_tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
-    frequency = i.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-    def ranked(df: DataFrame, key: str) -> DataFrame:
-        each = df.select(key, F.explode("tokens").alias("token")).join(frequency, "token", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("token"))))
-        return each.groupBy(key).agg(F.transform(order, lambda x: x["token"]).alias("ranked")).withColumnRenamed(key, "class_id")
-
-    left = _posted(ranked(t, "id"), least, ()).select("token", F.col("class_id").alias("id"), F.col("n").alias("na"))
-    right = _posted(ranked(i, "item_id"), least, ()).select("token", F.col("class_id").alias("item_id"), F.col("n").alias("nb"))
-    near = (F.col("nb") >= F.col("na") * F.lit(least)) & (F.col("na") >= F.col("nb") * F.lit(least))
-    pairs = left.join(right, "token").where(near).select("id", "item_id").distinct()
+    words = i.select(F.explode("tokens").alias("token")).distinct()
+    held = t.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(words) if few(words, 1 << 20) else words, "token", "left_semi")
+    near = cut(held.groupBy("id", "n").agg(F.count(F.lit(1)).alias("known")).where(F.col("known") >= F.col("n") * F.lit(least) - F.lit(1e-9)).select("id"))
+    t = t.join(near, "id", "left_semi")
+    frequent = _frequent(i)
+    left = _posted(t.withColumnRenamed("id", "class_id"), least, (), frequent).select("token", F.col("class_id").alias("id"), F.col("n").alias("na"))
+    right = _posted(i.withColumnRenamed("item_id", "class_id"), least, (), frequent).select("token", F.col("class_id").alias("item_id"), F.col("n").alias("nb"))
+    fits = (F.col("nb") >= F.col("na") * F.lit(least)) & (F.col("na") >= F.col("nb") * F.lit(least))
+    pairs = left.join(right, "token").where(fits).select("id", "item_id").distinct()
     whole = pairs.join(t.withColumnRenamed("tokens", "ta"), "id").join(i.withColumnRenamed("tokens", "tb"), "item_id")
     met = whole.withColumn("s", jaccard(F.col("ta"), F.col("tb"))).where(F.col("s") >= least)
     found = met.groupBy("id").agg(F.count_distinct("item_id").alias("n_items"), F.max("s").alias("best"))
     return texts.select("id").join(found, "id", "left").select("id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("best", F.lit(0.0)).alias("best"))
-
-

@@ -66,7 +66,7 @@ def recall(events: DataFrame, queries: DataFrame, k: int = 8, vectors: DataFrame
     else:
         near = retrieve.dense(vectors.join(live.select("id"), "id", "left_semi"), query_vectors, 20)
     hits = retrieve.fuse(near, lexical, k)
-    plain = retrieve.top(retrieve.token_overlap(live.select("id", F.col("description").alias("text")), queries), k)
+    plain = retrieve.token_overlap(live.select("id", F.col("description").alias("text")), queries, k)
     missed = plain.join(hits.select("query_id").distinct(), "query_id", "left_anti").withColumns({"dense_rank": F.lit(None).cast("int"), "bm25_rank": F.lit(None).cast("int"), "cosine": F.lit(None).cast("double")})
     found = hits.select("query_id", "id", "score", "rank", "dense_rank", "bm25_rank", "cosine").unionByName(missed.select("query_id", "id", "score", "rank", "dense_rank", "bm25_rank", "cosine"))
     shown = found.join(events.select("id", "event_type", "subject", "description"), "id")

@@ -67,7 +67,7 @@ def lexical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item asked of all documents by shared words, the ten best."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieve.top(retrieve.token_overlap(docs, asked), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieve.token_overlap(docs, asked, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _TERMS = r"regexp_extract_all(translate(lower({c}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}_\-]+')"
