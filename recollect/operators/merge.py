@@ -9,6 +9,8 @@ matching rows meets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,9 +90,12 @@ def echoes(new: DataFrame, old: DataFrame) -> DataFrame:
     return met.where(F.col("j") >= ECHO_JACCARD).groupBy("id").agg(F.max_by("echo_id", F.struct("j", "echo_id")).alias("echo_id"))
 
 
-def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
+def superseded(new: DataFrame, old: DataFrame, judge: Callable[[Column, Column], Column] | None = None, threshold: float = 0.5) -> DataFrame:
     """old_id, superseded_by: active events that new ones replace, each by the first new one (by id).
 
+    judge: any pandas UDF or expression of two descriptions (new, old) that says how likely
+    one replaces the other; what is alike must then also reach the threshold.
+
     A replacement comes from other evidence, isn't older, and has at least the authority.  Of
     its own type it needs similarity; of another type of choice, the same topic.
     """
@@ -107,7 +112,10 @@ def superseded(new: DataFrame, old: DataFrame) -> DataFrame:
     topic = (F.col("n.topic") != "") & (F.col("n.topic") == F.col("o.topic")) & (shared >= 0.3)
     family = F.col("n.event_type").isin(*CHOICE_FAMILY) & F.col("o.event_type").isin(*CHOICE_FAMILY)
     hit = F.when(F.col("n.event_type") == F.col("o.event_type"), similar("n", "o")).otherwise(family & topic)
-    return met.where(gates & hit).groupBy("old_id").agg(F.min("new_id").alias("superseded_by"))
+    met = met.where(gates & hit)
+    if judge is not None:  # after everything cheaper
+        met = met.where(judge(F.col("n.description"), F.col("o.description")) >= threshold)
+    return met.groupBy("old_id").agg(F.min("new_id").alias("superseded_by"))
 
 
 def duplicates_across_types(events: DataFrame) -> DataFrame:

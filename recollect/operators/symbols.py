@@ -18,9 +18,8 @@ from recollect.functions.text import count_tokens
 
 # Fixed values.
 SKIPPED_FOLDERS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", "target", ".next")
-MOST_FILES = 500
 SUFFIXES = (".py", ".ts", ".tsx", ".js", ".jsx")
-ROUTE_VERBS = ("get", "post", "put", "delete", "patch", "options", "head")
+ROUTE_VERBS = ("get", "post", "put", "delete", "patch")
 MOST_FIELDS, MOST_CLASSES, MOST_METHODS, MOST_FUNCTIONS, MOST_IMPORTS = 10, 5, 5, 10, 8
 SKELETON_BUDGET = 800
 
@@ -28,7 +27,7 @@ NODE = pa.struct([(n, pa.string()) for n in ("node_type", "name", "parent_name",
 
 
 def _shown(node: ast.AST | None) -> str:
-    return "" if node is None else ast.unparse(node).replace(" ", "")
+    return "" if node is None else ast.unparse(node)
 
 
 def _signature(fn) -> str:
@@ -37,28 +36,23 @@ def _signature(fn) -> str:
 
 
 def _fields(cls: ast.ClassDef) -> str:
-    """Annotated and assigned fields, those of `__init__` included."""
-    found: dict[str, str] = {}
-    for stmt in cls.body:
-        if isinstance(stmt, ast.AnnAssign) and isinstance(stmt.target, ast.Name):
-            found.setdefault(stmt.target.id, _shown(stmt.annotation))
-        elif isinstance(stmt, ast.FunctionDef) and stmt.name == "__init__":
-            types = {a.arg: _shown(a.annotation) for a in stmt.args.args}
-            for inner in ast.walk(stmt):
-                targets = inner.targets if isinstance(inner, ast.Assign) else [inner.target] if isinstance(inner, ast.AnnAssign) else []
-                for t in targets:
-                    if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
-                        kind = _shown(inner.annotation) if isinstance(inner, ast.AnnAssign) else types.get(getattr(inner.value, "id", ""), "")
-                        found.setdefault(t.attr, kind)
-    return ", ".join(f"{k}:{v}" if v else k for k, v in list(found.items())[:MOST_FIELDS])
+    """Annotated fields of the class, then what the statements of `__init__` put on `self`: types as annotated, never guessed."""
+    found = {s.target.id: _shown(s.annotation) for s in cls.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)}
+    made = [s for m in cls.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) and m.name == "__init__" for s in m.body]
+    for stmt in made:
+        typed = isinstance(stmt, ast.AnnAssign)
+        for target in [stmt.target] if typed else stmt.targets if isinstance(stmt, ast.Assign) else []:
+            if isinstance(target, ast.Attribute) and ast.unparse(target.value) == "self":
+                found[target.attr] = _shown(stmt.annotation) if typed else found.get(target.attr, "")
+    return ", ".join([f"{name}:{kind}" if kind else name for name, kind in found.items()][:MOST_FIELDS])
 
 
 def _route(fn) -> tuple[str, str]:
-    for d in fn.decorator_list:
-        if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in ROUTE_VERBS:
-            path = next((a.value for a in d.args if isinstance(a, ast.Constant) and isinstance(a.value, str)), "")
-            model = next((_shown(k.value) for k in d.keywords if k.arg == "response_model"), "")
-            return f"{d.func.attr.upper()} {path}".strip(), model
+    """`VERB path` and the response model of the first decorator that is a route with a path."""
+    for d in (d for d in fn.decorator_list if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr.lower() in ROUTE_VERBS and d.args):
+        path = d.args[0].value if isinstance(d.args[0], ast.Constant) else _shown(d.args[0])
+        if path:
+            return f"{d.func.attr.upper()} {path}", next((_shown(k.value) for k in d.keywords if k.arg == "response_model"), "")
     return "", ""
 
 
@@ -72,7 +66,7 @@ def python_symbols(source: str) -> tuple[list[tuple], list[str], bool]:
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
     for stmt in tree.body:
         if isinstance(stmt, ast.ClassDef):
-            nodes.append(("class", stmt.name, "", ", ".join(_shown(b) for b in stmt.bases), "", _fields(stmt)))
+            nodes.append(("class", stmt.name, "", _shown(stmt.bases[0]) if stmt.bases else "", "", _fields(stmt)))
             nodes += [("method", m.name, stmt.name, _signature(m), _shown(m.returns), "") for m in stmt.body if isinstance(m, functions) and m.name != "__init__"]
         elif isinstance(stmt, functions):
             route, model = _route(stmt)
@@ -106,13 +100,15 @@ def script_symbols(source: str) -> tuple[list[tuple], list[str], bool]:
     return nodes, [a or b for a, b in _TS_IMPORT.findall(source)], True
 
 
-def project_files(files: DataFrame) -> DataFrame:
-    """files (project_id, path, …) of a project's languages outside generated folders, the first 500 by language and path."""
+def project_files(files: DataFrame, most: int | None = None) -> DataFrame:
+    """files (project_id, path, …) of a project's languages outside generated folders; if asked, the first `most` of each project by language and path."""
     parts = F.split("path", "/")
     rank = F.array_position(F.array(*[F.lit(s) for s in SUFFIXES]), F.concat(F.lit("."), F.element_at(F.split("path", r"\."), -1)))
     own = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*[F.lit(s) for s in SKIPPED_FOLDERS]))).withColumn("_rank", rank).where("_rank > 0")
+    if most is None:
+        return own.drop("_rank")
     place = F.row_number().over(Window.partitionBy("project_id").orderBy("_rank", "path"))
-    return own.withColumn("_k", place).where(F.col("_k") <= MOST_FILES).drop("_k", "_rank")
+    return own.withColumn("_k", place).where(F.col("_k") <= most).drop("_k", "_rank")
 
 
 def scan_sources(sources: DataFrame) -> DataFrame:

@@ -96,6 +96,17 @@ def invalidated(cache: DataFrame, changed: DataFrame) -> DataFrame:
     return cache.join(changed, "project_id").where(hit).select(*cache.columns).distinct()
 
 
+def without_vectors(events: DataFrame, vectors: DataFrame, version: str) -> DataFrame:
+    """Active events that have no vector (event_id, model_version) of the model's version yet: what a backfill embeds."""
+    own = vectors.where(F.col("model_version") == version).select(F.col("event_id").alias("id"))
+    return active(events).join(own, "id", "left_anti")
+
+
+def without_index(events: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Active events that the search index (id) doesn't hold yet."""
+    return active(events).join(indexed.select("id"), "id", "left_anti")
+
+
 def dead_letters(failures: DataFrame, n: int = 10) -> DataFrame:
     """The newest n failures of each project."""
     newest = Window.partitionBy("project_id").orderBy(F.desc("failed_at"), F.desc("id"))

@@ -174,6 +174,53 @@ def kappa(rated: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(F.when(F.col("n") == 0, 0.0).when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 
+# Marks of wrong finds.
+CUT_SHORT = r"(?U)(?:…|\.\.\.)\s*\.?\s*$"
+THREAD_VERB = r"(?iU)\b(open|next session|implement|build|work item|work thread|active work|todo|to-do|create|tackle)\b"
+REJECT_VERB = r"(?iU)\b(reject|ruled out|never use|do not use|don't use|avoid|not used|instead of|too heavy|abandon|no\b)"
+LEAST_CONTENT_WORDS = 4
+
+
+def wrong_finds(events: DataFrame, echoes: tuple[str, ...], meta: tuple[str, ...], keys: tuple[str, ...] = ("session_id",), order: str = "id") -> DataFrame:
+    """events (event_type, text) with `wrong`: why an event is no find, null for what is one; the first reason counts.
+
+    A text said before in its session, echoes and meta talk by their signatures, texts cut
+    short, fragments, threads and dead ends without a verb of their kind.
+    """
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    said = plain(F.coalesce("text", F.lit("")))
+    holds = lambda marks: F.exists(F.array(*[plain(F.lit(m)) for m in marks]).cast("array<string>"), lambda m: F.col("_said").contains(m))
+    e = events.withColumn("_said", said)
+    again = F.row_number().over(Window.partitionBy(*keys, "_said").orderBy(order)) > 1
+    reasons = [
+        ("dup", again),
+        ("echo", holds(echoes)),
+        ("meta", holds(meta)),
+        ("truncated", F.col("text").rlike(CUT_SHORT)),
+        ("fragment", F.size(F.regexp_extract_all("_said", F.lit("([a-z0-9]{3,})"), 1)) < LEAST_CONTENT_WORDS),
+        ("mistyped_thread", F.col("event_type").isin("THREAD_OPEN", "THREAD_CLOSE") & ~F.col("_said").rlike(THREAD_VERB)),
+        ("false_graveyard", (F.col("event_type") == "APPROACH_ABANDONED_DO_NOT_RETRY") & ~F.col("_said").rlike(REJECT_VERB)),
+    ]
+    wrong = F.lit(None).cast("string")
+    for name, found in reversed(reasons):
+        wrong = F.when(F.coalesce(found, F.lit(False)), name).otherwise(wrong)
+    return e.withColumn("wrong", wrong).drop("_said")
+
+
+def discovered(known: DataFrame, logs: DataFrame) -> DataFrame:
+    """Per project of known sessions (project_id, session_id): sessions, those with a log (session_id, of any number of lines) and those skipped without."""
+    each = known.select("project_id", "session_id").distinct().join(logs.select("session_id").distinct().withColumn("_log", F.lit(True)), "session_id", "left")
+    return each.groupBy("project_id").agg(F.count(F.lit(1)).alias("sessions"), F.count("_log").alias("ingested"), (F.count(F.lit(1)) - F.count("_log")).alias("skipped"))
+
+
+def job_costs(jobs: DataFrame, acks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Firings (session_id, latency_ms, kilobytes, original_bytes) of finished jobs: from their first acknowledgement (id, stage, at_ms) to the last, over their evidence (id, size)."""
+    took = acks.groupBy("id").agg((F.max("at_ms") - F.min("at_ms")).cast("double").alias("latency_ms"))
+    done = jobs.where("state = 'completed'").select("id", "session_id", "evidence_id").join(took, "id")
+    sized = done.join(evidence.select(F.col("id").alias("evidence_id"), F.col("size").alias("original_bytes")), "evidence_id")
+    return sized.select("session_id", "latency_ms", (F.col("original_bytes") / 1024).alias("kilobytes"), "original_bytes")
+
+
 def fact_presence(events: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts (id, groups: array of arrays of substrings) that some active description holds: any group, whole.
 

@@ -691,3 +691,58 @@ def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = v.where("id % 9 = 0").select(F.concat(F.lit("f"), (F.col("label") * 3 % 40).cast("string")).alias("from_path"), F.col("file").alias("to_path"), F.lit(False).alias("is_external"))
     found = retrieve.related(v.select("id", F.array("file").alias("files")), seeds, retrieve.top(near, 20).drop("rank"), edges)
     return found.select("query_id", "id", "rank", "why", "score")
+
+
+# --- evaluations and backfills
+
+_ECHOES, _META = ("could prefer", "red widget"), ("storage limit",)
+
+
+@query(f"""
+WITH s AS ({_SAID}), t AS (SELECT *, CASE WHEN id % 7 = 0 THEN text || ' ...' ELSE text END AS said FROM s), n AS (SELECT *, lower(trim(regexp_replace(said, '\\s+', ' ', 'g'))) AS p FROM t),
+d AS (SELECT *, row_number() OVER (PARTITION BY project_id, p ORDER BY id) > 1 AS again FROM n)
+SELECT id, CASE WHEN again THEN 'dup' WHEN {" OR ".join(f"contains(p, '{x}')" for x in _ECHOES)} THEN 'echo' WHEN {" OR ".join(f"contains(p, '{x}')" for x in _META)} THEN 'meta' WHEN regexp_matches(said, {_re(telemetry.CUT_SHORT)}) THEN 'truncated'
+  WHEN len(regexp_extract_all(p, '[a-z0-9]{{3,}}')) < 4 THEN 'fragment' WHEN event_type IN ('THREAD_OPEN', 'THREAD_CLOSE') AND NOT regexp_matches(p, {_re(telemetry.THREAD_VERB)}) THEN 'mistyped_thread'
+  WHEN event_type = 'APPROACH_ABANDONED_DO_NOT_RETRY' AND NOT regexp_matches(p, {_re(telemetry.REJECT_VERB)}) THEN 'false_graveyard' END AS wrong FROM d
+""")
+def wrong_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why statements of parts would be wrong finds of an extraction."""
+    text = F.when(F.col("id") % 7 == 0, F.concat("text", F.lit(" ..."))).otherwise(F.col("text"))
+    return telemetry.wrong_finds(sayings(spark, sf_dir).withColumn("text", text), _ECHOES, _META, ("project_id",)).select("id", "wrong")
+
+
+@query(f"""
+WITH e AS ({_EVENTS}), v AS (SELECT vec_id * 7 AS id, 'v' || (label % 2) AS version FROM embeddings), i AS (SELECT vec_id * 3 AS id FROM embeddings)
+SELECT id, id NOT IN (SELECT id FROM v WHERE version = 'v1') AS to_embed, id NOT IN (SELECT id FROM i) AS to_index FROM e WHERE NOT archived
+""")
+def backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active events that the vectors of a model's version, or the search index, don't hold yet."""
+    e, v = views.memory_events(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    vectors = v.select((F.col("vec_id") * 7).alias("event_id"), F.concat(F.lit("v"), (F.col("label") % 2).cast("string")).alias("model_version"))
+    embed = tables.without_vectors(e, vectors, "v1").select("id", F.lit(True).alias("to_embed"))
+    index = tables.without_index(e, v.select((F.col("vec_id") * 3).alias("id"))).select("id", F.lit(True).alias("to_index"))
+    out = tables.active(e).select("id").join(embed, "id", "left").join(index, "id", "left")
+    return out.select("id", F.coalesce("to_embed", F.lit(False)).alias("to_embed"), F.coalesce("to_index", F.lit(False)).alias("to_index"))
+
+
+@query(f"""
+WITH e AS ({_EVENTS}), k AS (SELECT DISTINCT project_id, session_id FROM e), l AS (SELECT DISTINCT 's' || user_id AS session_id FROM events)
+SELECT project_id, count(*) AS sessions, count(l.session_id) AS ingested, count(*) - count(l.session_id) AS skipped FROM k LEFT JOIN l USING (session_id) GROUP BY project_id
+""")
+def discovered_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known sessions by whether a log of theirs was found."""
+    logs = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"))
+    return telemetry.discovered(views.memory_events(spark, sf_dir), logs)
+
+
+@query(f"""
+WITH {_JOBS}, a AS (SELECT l_orderkey AS id, max(l_partkey) - min(l_partkey) AS took FROM lineitem GROUP BY l_orderkey), f AS (SELECT session_id, CAST(took AS DOUBLE) AS latency_ms, c_custkey * 10 + 100 AS size FROM j JOIN a USING (id) JOIN customer ON c_custkey = evidence_id // 20 WHERE state = 'completed')
+SELECT session_id, count(*) AS firings, min(latency_ms) AS least_ms, max(latency_ms) AS most_ms, round(sum(size) / max(size), 6) AS amplification FROM f GROUP BY session_id
+""")
+def job_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What finished jobs took, by their acknowledgements, over the size of their evidence."""
+    j = _jobs(spark, sf_dir).withColumn("evidence_id", F.floor(F.col("evidence_id") / 20).cast("long"))
+    acks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("EXTRACTED").alias("stage"), F.col("l_partkey").alias("at_ms"))
+    sizes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 10 + 100).alias("size"))
+    out = telemetry.ingest_cost(telemetry.job_costs(j, acks, sizes))
+    return out.select("session_id", "firings", "least_ms", "most_ms", F.round("amplification", 6).alias("amplification"))
