@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions import paths, similarity, text as tx
+from recollect.functions import paths, sanitize, similarity
 from recollect.functions import statements as st
-from recollect.operators import graph, policies, project, readers, retrieve, tables, telemetry
+from recollect.functions import text as tx
+from recollect.operators import graph, merge, policies, project, readers, retrieve, segment, symbols, tables, telemetry
 from recollect.plans import views
 from recollect.plans.queries import _EVENTS, _STOP, _hash, _tokens, _words
 from recollect.plans.registry import query
 from recollect.plans.views import millis, table
+from recollect.schemas import CHOICE_FAMILY, SUPERSESSION_TYPES
 from recollect.sources import diffs, transcripts
 
 #: What is said of a part, by its key: kind of event, and a sentence with its columns.  Invented.
@@ -57,6 +59,7 @@ def _said_sql() -> str:
 
 
 _SAID = _said_sql()
+_FAMILY_SQL = "(" + ", ".join(_quoted(t) for t in CHOICE_FAMILY) + ")"
 
 
 def _re(pattern: str) -> str:
@@ -103,7 +106,7 @@ def _fold_sql(t: str) -> str:
 @query(rf"""
 WITH s AS ({_SAID}), d AS (SELECT *, {_subject_sql("text")} AS derived, {_LABEL_SQL} AS label FROM s)
 SELECT id, regexp_replace(array_to_string({_words("text")}, ' '), '^(?:{tx.ARTICLES}\s+)+', '') AS subject, derived, label,
-  CASE WHEN event_type IN ('CONSTRAINT_HARD', 'CONSTRAINT_SOFT', 'DECISION', 'APPROACH_ABANDONED', 'APPROACH_ABANDONED_DO_NOT_RETRY') THEN {_key_sql("coalesce(nullif(derived, ''), nullif(label, ''), '')")} ELSE '' END AS decision_key,
+  CASE WHEN event_type IN {_FAMILY_SQL} THEN {_key_sql("coalesce(nullif(derived, ''), nullif(label, ''), '')")} ELSE '' END AS decision_key,
   array_to_string(list_sort(list_distinct([{_fold_sql("t")} FOR t IN {_content("text")}])), ' ') AS stems,
   array_to_string([t FOR t, i IN (regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_\-]*')) IF (length(t) > 2 OR regexp_full_match(t, '\d+')) AND t NOT IN {_STOP} AND list_position(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_\-]*'), t) = i], ' ') AS terms
 FROM d
@@ -446,7 +449,7 @@ def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH s AS ({_SAID}), d AS (SELECT *, {_subject_sql("text")} AS derived, {_LABEL_SQL} AS label FROM s)
-SELECT id, CASE WHEN id % 2 = 0 THEN 'kept' WHEN event_type IN ('CONSTRAINT_HARD', 'CONSTRAINT_SOFT', 'DECISION', 'APPROACH_ABANDONED', 'APPROACH_ABANDONED_DO_NOT_RETRY') THEN {_key_sql("coalesce(nullif(derived, ''), nullif(label, ''), '')")} ELSE '' END AS decision_key FROM d
+SELECT id, CASE WHEN id % 2 = 0 THEN 'kept' WHEN event_type IN {_FAMILY_SQL} THEN {_key_sql("coalesce(nullif(derived, ''), nullif(label, ''), '')")} ELSE '' END AS decision_key FROM d
 """)
 def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose topic wasn't looked for yet, with it."""
@@ -746,3 +749,169 @@ def job_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 10 + 100).alias("size"))
     out = telemetry.ingest_cost(telemetry.job_costs(j, acks, sizes))
     return out.select("session_id", "firings", "least_ms", "most_ms", F.round("amplification", 6).alias("amplification"))
+
+
+# --- markup, sentences, symbols
+
+
+@query("""
+SELECT p_partkey AS id, 'Use ' || p_name || ' from docs here ' || p_brand || ' tail [code: python] str | ' || lower(p_type) || ' stays Every ' || lower(p_type) || ' transition logs ' || CAST(p_size AS VARCHAR) || '00 rows' AS description FROM part
+""")
+def clean_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup around the columns of parts, taken off again."""
+    parts = [
+        "User: > ## **Use** `{name}` from [docs](http://x/{brand}) _here_\n- {brand} ~~tail~~\n",
+        "```python\nhidden({name})\n```\n| # | Rule |\n|---|---|\nstr | {type} stays\n",
+        "| # | Rule | |---|---| | S1 | Every {type} transition logs {size}00 rows",
+    ]
+    said = F.lit("".join(parts))
+    for field, column in _FIELDS.items():
+        said = F.replace(said, F.lit(field), F.expr(column.replace("VARCHAR", "STRING")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), sanitize.description(said).alias("description"))
+
+
+_SENTENCES = (
+    # role, text, whether it is code, whether it is of a list
+    ("user", "First use {name} e.g. for {type} things.", False, False),
+    ("user", "Then {brand} is tried again.", False, False),
+    ("user", "keep {name}", False, True),
+    ("user", "drop {brand}", False, True),
+    ("user", "Limit: {size} boxes", False, False),
+    ("assistant", "I see {name}!", False, False),
+    ("assistant", "```\nrun {brand}. Now.\n```", True, False),
+    ("assistant", "Done with {size}? yes.", False, False),
+)
+_TRANSCRIPT = (
+    "User: First use {name} e.g. for\n{type} things. Then {brand} is\ntried again.\n- keep {name}\n2. drop {brand}\nLimit: {size} boxes\n\n"
+    "Assistant: I see {name}!\n```\nrun {brand}. Now.\n```\nDone with {size}? yes.\n"
+)
+
+
+def _filled(template: str) -> str:
+    out = _quoted(template).replace("\n", "' || chr(10) || '")
+    for field, column in _FIELDS.items():
+        out = f"replace({out}, '{field}', {column})"
+    return out
+
+
+@query(
+    "\nUNION ALL\n".join(
+        f"SELECT p_partkey AS id, {k} AS idx, '{role}' AS role, {_filled(text)} AS text, {str(code).lower()} AS is_code, {str(item).lower()} AS list_item, {1 if item else -1} AS list_group FROM part"
+        for k, (role, text, code, item) in enumerate(_SENTENCES)
+    )
+)
+def transcript_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts made of the columns of parts, cut into sentences."""
+    said = F.lit(_TRANSCRIPT)
+    for field, column in _FIELDS.items():
+        said = F.replace(said, F.lit(field), F.expr(column.replace("VARCHAR", "STRING")))
+    made = segment.segment(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), said.alias("transcript")), ("id",))
+    return made.select("id", "idx", "role", "text", "is_code", "list_item", "list_group")
+
+
+_PYTHON = """import os, app.{noun}
+from app.{noun} import Thing
+class C{key}(Base, Mixin):
+    id: Dict[str, int]
+    def __init__(self, a: str):
+        self.a = a
+        self.b: list[int] = []
+    def find(self, key: str, *, most=1) -> bool:
+        pass
+@router.get('/{noun}/{key}', response_model=List[Thing])
+async def f{key}(limit: int = 10) -> dict:
+    pass
+"""
+
+
+def _python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.replace(F.replace(F.lit(_PYTHON), F.lit("{key}"), F.col("p_partkey").cast("string")), F.lit("{noun}"), F.element_at(F.split("p_name", " "), 2))
+    broken = F.when(F.col("p_partkey") % 10 == 9, F.lit("def (:\n")).otherwise(source)
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("project_id"), F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), broken.alias("source"))
+
+
+@query("""
+WITH p AS (SELECT p_brand AS project_id, 'src/f' || p_partkey || '.py' AS path, CAST(p_partkey AS VARCHAR) AS k, split_part(p_name, ' ', 2) AS noun FROM part WHERE p_partkey % 10 <> 9)
+SELECT project_id, path, 'class' AS node_type, 'C' || k AS name, '' AS parent_name, 'Base' AS signature, '' AS return_type, 'id:Dict[str, int], a, b:list[int]' AS fields FROM p
+UNION ALL SELECT project_id, path, 'method', 'find', 'C' || k, '(key:str, most)', 'bool', '' FROM p
+UNION ALL SELECT project_id, path, 'function', 'f' || k, '', '(limit:int)', 'List[Thing]', 'GET /' || noun || '/' || k FROM p
+""")
+def symbol_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, methods and routes of Python files made of parts; some can't be parsed."""
+    return symbols.nodes_of(symbols.scan_sources(symbols.project_files(_python_files(spark, sf_dir))))
+
+
+@query("""
+WITH p AS (SELECT p_brand AS project_id, 'src/f' || p_partkey || '.py' AS path, split_part(p_name, ' ', 2) AS noun FROM part WHERE p_partkey % 10 <> 9), m AS (SELECT project_id, path, 'os' AS module, noun FROM p UNION ALL SELECT project_id, path, 'app.' || noun, noun FROM p),
+files AS (SELECT DISTINCT p_brand AS project_id, 'src/app/' || split_part(p_name, ' ', 2) || '.py' AS path FROM part WHERE p_size > 25)
+SELECT DISTINCT project_id, m.path AS from_path, coalesce(files.path, module) AS to_path, files.path IS NULL AS is_external FROM m LEFT JOIN files ON files.project_id = m.project_id AND files.path = 'src/app/' || noun || '.py' AND module <> 'os'
+""".replace("SELECT DISTINCT project_id, m.path", "SELECT DISTINCT m.project_id, m.path"))
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of the same files, resolved to those of the project that are there."""
+    own = _python_files(spark, sf_dir)
+    noun = F.element_at(F.split("p_name", " "), 2)
+    there = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_brand").alias("project_id"), F.concat(F.lit("src/app/"), noun, F.lit(".py")).alias("path")).distinct()
+    found = graph.resolve_imports(symbols.imports_of(symbols.scan_sources(own)), there.unionByName(own.select("project_id", "path")))
+    return found.select("project_id", "from_path", "to_path", "is_external")
+
+
+# --- replacing and echoing
+
+
+def _said_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of parts as stored events, an evidence each."""
+    s = sayings(spark, sf_dir)
+    return s.select(
+        "id", "project_id", F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("session_id"), F.col("id").alias("created_at"), "event_type", F.col("text").alias("description"), F.lit("").alias("rationale"), F.lit("").alias("subject"),
+        st.role_authority(F.col("role")).alias("authority"), F.lit("").alias("path"), F.lit("").alias("status"), F.lit("").alias("intent"), F.array().cast("array<string>").alias("affected_files"), F.array().cast("array<string>").alias("dependencies"),
+        tx.content_hash(F.col("event_type"), F.col("text")).alias("content_hash"), F.lit(1.0).alias("weight"), F.lit(1).cast("long").alias("mention_count"), F.lit(None).cast("long").alias("superseded_by"), F.lit(False).alias("archived"),
+        F.col("id").alias("evidence_id"), F.lit("").alias("decision_key"),
+    )
+
+
+def _pairs_sql(said: str) -> str:
+    """rated: pairs of statements of one project, with how alike they are."""
+    return f"""
+s AS ({said}), c AS (SELECT *, {_tokens("text")} AS tokens, {_subject_sql("text")} AS topic, {_hash("event_type", "text")} AS h, CASE role WHEN 'user' THEN 3 ELSE 2 END AS rank FROM s),
+pairs AS (SELECT n.id AS new_id, o.id AS old_id, n.event_type AS nt, o.event_type AS ot, n.rank AS nr, o.rank AS orank, n.tokens AS x, o.tokens AS y, n.h <> o.h AS differ, n.topic <> '' AND n.topic = o.topic AS one_topic, lower(trim(n.text)) AS la, lower(trim(o.text)) AS lb
+  FROM c n JOIN c o ON n.project_id = o.project_id AND n.id <> o.id),
+rated AS (SELECT *, {_JACCARD} AS j, {_JACCARD} >= 0.6 OR (one_topic AND {_JACCARD} >= 0.3) OR {_EDITS} <= 0.15 AS alike FROM pairs)
+"""
+
+
+_PAIRS = _pairs_sql(_SAID)
+
+
+@query(f"""
+WITH {_PAIRS} SELECT old_id, min(new_id) AS superseded_by FROM rated WHERE new_id % 2 = 1 AND old_id % 2 = 0 AND nt IN ({", ".join(_quoted(t) for t in SUPERSESSION_TYPES)}) AND differ AND old_id <= new_id AND nr >= orank
+  AND CASE WHEN nt = ot THEN alike ELSE nt IN {_FAMILY_SQL} AND ot IN {_FAMILY_SQL} AND one_topic AND j >= 0.3 END GROUP BY old_id
+""")
+def superseded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which statements of even parts those of odd ones replace."""
+    e = _said_events(spark, sf_dir)
+    return merge.superseded(e.where("id % 2 = 1"), e.where("id % 2 = 0"))
+
+
+@query(f"""
+WITH {_PAIRS} SELECT new_id AS id, arg_max(old_id, (j, old_id)) AS echo_id FROM rated WHERE new_id % 2 = 1 AND old_id % 2 = 0 AND nt = ot AND differ AND j >= 0.85 GROUP BY new_id
+""")
+def echoed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which statements of even parts those of odd ones merely say again."""
+    e = merge.comparable(_said_events(spark, sf_dir))
+    return merge.echoes(e.where("id % 2 = 1"), e.where("id % 2 = 0"))
+
+
+_PRIORITY_SQL = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in merge.PRIORITY.items()) + "}"
+_FORBIDDEN = f"SELECT p_partkey AS id, p_brand AS project_id, {_list(merge.PRIORITY)}[p_partkey % 3 + 1] AS event_type, 'user' AS role, 'Never use ' || p_name || ' with ' || lower(p_type) || ' boxes' AS text, p_size FROM part"
+
+
+@query(f"""
+WITH {_pairs_sql(_FORBIDDEN)} SELECT old_id, arg_min(new_id, (({_PRIORITY_SQL})[nt], new_id)) AS superseded_by FROM rated WHERE ({_PRIORITY_SQL})[nt] < ({_PRIORITY_SQL})[ot] AND alike GROUP BY old_id
+""")
+def outranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prohibitions that one of a higher type says, too."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", F.lower("p_type").alias("p_type"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in merge.PRIORITY]), (F.col("id") % 3 + 1).cast("int"))
+    said = F.concat(F.lit("Never use "), F.col("p_name"), F.lit(" with "), F.col("p_type"), F.lit(" boxes"))
+    e = _said_events(spark, sf_dir).join(p, "id").withColumn("event_type", kind).withColumn("description", said)
+    return merge.duplicates_across_types(e.drop("p_name", "p_type"))
