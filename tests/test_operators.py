@@ -383,11 +383,15 @@ def test_cascade(spark):
 def test_symbols(spark):
     nodes, modules, ok = symbols.python_symbols("import os, a.b\nfrom .x import y\nfrom c import d\nclass A(B, C):\n    n: int = 1\n    def __init__(self, z: str):\n        self.z = z\n    async def go(self, k: int = 2, *, w) -> 'A':\n        pass\n@app.post('/x', response_model=M)\ndef f(q):\n    pass\n")
     assert ok and modules == ["os", "a.b", "x", "c"]
-    assert nodes == [("class", "A", "", "B, C", "", "n:int, z:str"), ("method", "go", "A", "(k:int, w)", "'A'", ""), ("function", "f", "", "(q)", "M", "POST /x")]
+    assert nodes == [("class", "A", "", "B", "", "n:int, z"), ("method", "go", "A", "(k:int, w)", "'A'", ""), ("function", "f", "", "(q)", "M", "POST /x")]
+    # types as they are written, and only where they are; a route has a path and one of five verbs
+    source = "class D:\n    def __init__(self, a: int):\n        self.m: Dict[str, int] = {}\n        if a:\n            self.later = a\n        self.m = {}\n@app.options('/o')\ndef g(x: Dict[str, int]): pass\n@app.get()\n@app.GET(prefix + '/h')\ndef h(): pass\n"
+    assert symbols.python_symbols(source)[0] == [("class", "D", "", "", "", "m:Dict[str, int]"), ("function", "g", "", "(x:Dict[str, int])", "", ""), ("function", "h", "", "()", "", "GET prefix + '/h'")]
     assert symbols.python_symbols("def (") == ([], [], False)
     sources = spark.createDataFrame([("p", "a/m.py", "import b.n\nimport gone.x\n"), ("p", "src/b/n.py", ""), ("p", "node_modules/q.js", ""), ("p", "w/i.ts", "import x from '../w/k'\n"), ("p", "w/k.ts", "")], "project_id string, path string, source string")
     files = symbols.project_files(sources)
     assert "node_modules/q.js" not in {r.path for r in files.collect()}
+    assert [r.path for r in symbols.project_files(sources, most=1).collect()] == ["a/m.py"] and files.count() == 4
     scanned = symbols.scan_sources(files)
     edges = {(r.from_path, r.to_path, r.is_external) for r in graph.resolve_imports(symbols.imports_of(scanned), sources).unionByName(symbols.script_edges(scanned, sources)).collect()}
     assert edges == {("a/m.py", "src/b/n.py", False), ("a/m.py", "gone.x", True), ("w/i.ts", "w/k.ts", False)}
