@@ -97,12 +97,34 @@ def content_hash(event_type: Column, description: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"event_type":'), json_string(event_type), F.lit(',"key_phrase":'), json_string(key), F.lit("}")), 256)
 
 
-def normalise_description(c: Column) -> Column:
-    """One prompt-verb prefix off (the longest that fits), first letter capital, white space single, a full stop at the end."""
+#: What SQL's trim takes off: Unicode's separators of words.
+_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def _capital(letter: Column) -> Column:
+    """A character in upper case, one for one: what only several letters could stand for stays, but for the sharp s."""
+
+    def one(ch: Column) -> Column:
+        upper, title = F.upper(ch), F.initcap(ch)
+        return F.when(ch == "ß", "ẞ").when(F.char_length(upper) == 1, upper).when(F.char_length(title) == 1, title).otherwise(ch)
+
+    return F.get(F.transform(F.array(letter), one), F.lit(0))  # the letter is named often, but evaluated once
+
+
+def normalise_description(c: Column, spaces: str = r"(?U)\s") -> Column:
+    """One prompt-verb prefix off (the longest that fits), first letter capital, white space single, a full stop at the end.
+
+    spaces: the pattern of a character of white space; all of Unicode's unless told otherwise.
+    """
     prefixes = "|".join(rf"\Q{p}\E" for p in sorted(PROMPT_PREFIXES, key=len, reverse=True))
-    s = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")), rf"(?i)^(?:{prefixes})", ""))
-    s = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.char_length(s)))
-    return F.when(s == "", F.lit("")).when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit(".")))
+    trimmed = lambda s: F.trim(s, F.lit(_BLANKS))
+    bare = trimmed(F.regexp_replace(trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{spaces}+", " ")), rf"(?iu)^(?:{prefixes})", ""))
+
+    def sentence(s: Column) -> Column:
+        said = F.concat(_capital(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.char_length(s)))
+        return F.when(s == "", s).when(s.rlike(r"[.!?]\z"), said).otherwise(F.concat(said, F.lit(".")))
+
+    return F.get(F.transform(F.array(bare), sentence), F.lit(0))  # as above
 
 
 def _last_terminator(window: Column) -> Column:

@@ -59,6 +59,19 @@ def test_linked_groups_of_all_lines(spark, tmp_path):
     assert {r.node: r.label for r in entry.queries()["linked_groups"](spark, str(tmp_path)).collect()} == label
 
 
+def test_normalised_descriptions_of_odd_texts(spark, tmp_path):
+    """Letters with no single capital, white space beyond ASCII, folded prefixes, missing texts: as the SQL says."""
+    import duckdb
+
+    texts = [None, "", " ", "ßheit, ge", "ŉ a", "ﬁn", "ᾳ b", "ǆ c", "և d", "i\u0307", "x\u0085", "x.\u2028", "a\u00a0\u2003b", "\x0ba", "a\x0bb", "Note that\u00a0y", "make \u017fure w", "Loc\u212a in it", "FYI: ßx?"]
+    texts += [chr(k) + "." for k in range(0xA0, 0x3000) if k not in (0x19B, 0x264, 0x1C8A)]  # letters newer than Java's tables
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = entry.queries()["normalised_descriptions"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(queries.SQL["normalised_descriptions"]).fetchall())
+
+
 @pytest.mark.parametrize("pipeline", [True, False])
 def test_entry_without_the_corpus_operators(tmp_path, pipeline):
     """A copy without both folders of the corpus operators, with or without the pipeline's file."""
