@@ -7,8 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.functions import text
+from recollect.functions.similarity import jaccard
+from recollect.functions.weights import authority_rank
 from recollect.operators import budget, extract, graph, merge, policies, project, retrieve, segment, similar, symbols, tables, telemetry
-from recollect.schemas import EVENTS
+from recollect.schemas import CHOICE_FAMILY, EVENTS, SUPERSESSION_TYPES
 from recollect.sources import diffs, transcripts
 
 NAMES = [p.split()[0] for p in EVENTS.split(", ")]
@@ -430,3 +433,30 @@ def test_measures(spark):
     facts = spark.createDataFrame([(1, [["redis", "cache"], ["memcached"]]), (2, [["absent"]])], "id int, groups array<array<string>>")
     said = spark.createDataFrame([("Use Redis as a cache",)], "description string")
     assert {r.id: r.present for r in telemetry.fact_presence(said, facts).collect()} == {1: True, 2: False}
+
+
+def _said_often(spark, seed=5):
+    """Events of few texts and many rows, some of them without a time or evidence."""
+    rng = random.Random(seed)
+    texts = [f"Never use {a} {b} with {c} boxes" for a in ("large", "hot", "blue") for b in ("ring", "bolt") for c in ("small", "economy")] + ["ab", None, "We will use tin for caching because it is cheap", "We will use zinc for caching because it is dear"]
+    rows = []
+    for k in range(400):
+        kind = rng.choice(("APPROACH_ABANDONED_DO_NOT_RETRY", "CONSTRAINT_HARD", "APPROACH_ABANDONED", "DECISION"))
+        rows.append((k, rng.choice("pq"), rng.choice((None, rng.randint(0, 50))), kind, rng.choice(texts), rng.choice(("user_stated", "assistant_decided")), rng.choice((None, rng.randint(0, 3)))))
+    df = spark.createDataFrame(rows, "id long, project_id string, created_at long, event_type string, description string, authority string, evidence_id long")
+    return merge.comparable(df.withColumn("content_hash", text.content_hash(F.col("event_type"), F.col("description"))).withColumn("superseded_by", F.lit(None).cast("long")).withColumn("archived", F.lit(False)))
+
+
+def _all_pairs(df, new, old):
+    return df.where(new).alias("n").join(df.where(old).alias("o"), F.col("n.project_id") == F.col("o.project_id")).where("n.id <> o.id")
+
+
+def test_outranked_of_texts_said_often(spark):
+    df = _said_often(spark).cache()
+    rank = lambda side: F.create_map(*[F.lit(x) for kv in merge.PRIORITY.items() for x in kv])[F.col(f"{side}.event_type")]
+    met = _all_pairs(df, "true", "true").where((rank("n") < rank("o")) & merge.similar("n", "o"))
+    plain = met.groupBy("o.id").agg(F.min_by("n.id", F.struct(rank("n"), F.col("n.id"))))
+    assert sorted(map(tuple, merge.duplicates_across_types(df).collect())) == sorted(map(tuple, plain.collect()))
+    # what meets is texts, however often they are said
+    texts = merge._texts(df)
+    assert merge._candidates(texts, texts).count() <= df.select("project_id", "description").distinct().count() ** 2
