@@ -460,3 +460,16 @@ def test_outranked_of_texts_said_often(spark):
     # what meets is texts, however often they are said
     texts = merge._texts(df)
     assert merge._candidates(texts, texts).count() <= df.select("project_id", "description").distinct().count() ** 2
+
+
+def test_superseded_of_texts_said_often(spark):
+    """Against all pairs: times and evidence missing or shared."""
+    df = _said_often(spark).cache()
+    n, o = (lambda c: F.col(f"n.{c}")), (lambda c: F.col(f"o.{c}"))
+    gates = (n("content_hash") != o("content_hash")) & ~F.coalesce(n("evidence_id") == o("evidence_id"), F.lit(False)) & F.coalesce(o("created_at") <= n("created_at"), F.lit(True)) & (authority_rank(n("authority")) >= authority_rank(o("authority")))
+    one_topic = (n("topic") != "") & (n("topic") == o("topic")) & (jaccard(n("tokens"), o("tokens")) >= 0.3)
+    family = n("event_type").isin(*CHOICE_FAMILY) & o("event_type").isin(*CHOICE_FAMILY)
+    hit = F.when(n("event_type") == o("event_type"), merge.similar("n", "o")).otherwise(family & one_topic)
+    plain = _all_pairs(df, "id % 3 = 0", "id % 3 > 0").where(n("event_type").isin(*SUPERSESSION_TYPES) & gates & hit).groupBy("o.id").agg(F.min("n.id"))
+    found = merge.superseded(df.where("id % 3 = 0"), df.where("id % 3 > 0"))
+    assert found.count() > 50 and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
