@@ -462,6 +462,15 @@ def test_outranked_of_texts_said_often(spark):
     assert merge._candidates(texts, texts).count() <= df.select("project_id", "description").distinct().count() ** 2
 
 
+def test_echoes_of_texts_said_often(spark):
+    df = _said_often(spark).withColumn("content_hash", F.concat("content_hash", (F.col("id") % 2).cast("string"))).cache()
+    j = jaccard(F.col("n.tokens"), F.col("o.tokens"))
+    met = _all_pairs(df, "id % 3 = 0", "id % 3 > 0").where((F.col("n.event_type") == F.col("o.event_type")) & (F.col("n.content_hash") != F.col("o.content_hash")) & (j >= 0.85))
+    plain = met.groupBy("n.id").agg(F.max_by("o.id", F.struct(j, F.col("o.id"))))
+    found = merge.echoes(df.where("id % 3 = 0"), df.where("id % 3 > 0"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_superseded_of_texts_said_often(spark):
     """Against all pairs: times and evidence missing or shared."""
     df = _said_often(spark).cache()
