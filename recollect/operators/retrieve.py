@@ -237,9 +237,17 @@ def related(events: DataFrame, seeds: DataFrame, semantic: DataFrame, edges: Dat
     out = own.join(local, own["path"] == local["from_path"]).select("query_id", F.col("to_path").alias("path"))
     into = own.join(local, own["path"] == local["to_path"]).select("query_id", F.col("from_path").alias("path"))
     near = own.union(out).union(into).distinct()
-    touched = events.select("id", F.explode(F.array_distinct("files")).alias("path")).join(near, "path").select("query_id", "id").distinct()
-    touched = touched.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("structural", F.lit(True))
+    held = events.select("id", F.explode(F.array_distinct("files")).alias("path"))
     close = semantic.where(F.col("score") >= RELATED_COSINE).join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    # what files alone relate all scores the same, so the lowest ids are enough: k of each path, and as many as may fall away
+    # because they are the seed's own or have a vector's score
+    away = close.groupBy("query_id").agg(F.count_distinct("id").alias("n")).join(seeds.groupBy("query_id").agg(F.count_distinct("id").alias("own")), "query_id", "full_outer")
+    needed = away.agg(F.max(F.coalesce("n", F.lit(0)) + F.coalesce("own", F.lit(0)) + k)).first()[0] or 0
+    lowest = held.withColumn("at", F.row_number().over(Window.partitionBy("path").orderBy("id"))).where(F.col("at") <= needed)
+    listed = near.join(lowest, "path").select("query_id", "id")
+    known = close.select("query_id", "id").join(held, "id").join(near, ["query_id", "path"]).select("query_id", "id")
+    touched = listed.union(known).distinct()
+    touched = touched.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("structural", F.lit(True))
     both = close.join(touched, ["query_id", "id"], "full_outer")
     score = F.when(F.col("score").isNull(), STRUCTURAL).otherwise(F.col("score") + F.when(F.col("structural"), STRUCTURAL_BOOST).otherwise(0.0))
     why = F.when(F.col("score").isNull(), "structural").when(F.col("structural"), "semantic+structural").otherwise("semantic")

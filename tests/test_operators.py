@@ -482,3 +482,15 @@ def test_superseded_of_texts_said_often(spark):
     plain = _all_pairs(df, "id % 3 = 0", "id % 3 > 0").where(n("event_type").isin(*SUPERSESSION_TYPES) & gates & hit).groupBy("o.id").agg(F.min("n.id"))
     found = merge.superseded(df.where("id % 3 = 0"), df.where("id % 3 > 0"))
     assert found.count() > 50 and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_related_reads_few_of_a_file_that_many_events_touch(spark):
+    """One file of 5000 events: the lowest ids, past those with a vector's score, and the scores of those that have one."""
+    e = spark.range(5000).select("id", F.array(F.lit("f")).alias("files"))
+    seeds = spark.createDataFrame([(0, 0, ["f"]), (3, 3, ["g"])], "query_id long, id long, files array<string>")
+    semantic = spark.createDataFrame([(0, k, 0.9) for k in (1, 2, 4900)] + [(3, 4999, 0.9)], "query_id long, id long, score double")
+    edges = spark.createDataFrame([("g", "f", False)], "from_path string, to_path string, is_external boolean")
+    out = retrieve.related(e, seeds, semantic, edges, 5)
+    found = {q: [r.id for r in sorted(out.where(F.col("query_id") == q).collect(), key=lambda r: r.rank)] for q in (0, 3)}
+    assert found == {0: [1, 2, 4900, 3, 4], 3: [4999, 0, 1, 2, 4]}
+    assert "WindowGroupLimit [path" in out._jdf.queryExecution().executedPlan().toString()  # before the seeds meet the events of a file
