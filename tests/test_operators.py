@@ -494,3 +494,33 @@ def test_related_reads_few_of_a_file_that_many_events_touch(spark):
     found = {q: [r.id for r in sorted(out.where(F.col("query_id") == q).collect(), key=lambda r: r.rank)] for q in (0, 3)}
     assert found == {0: [1, 2, 4900, 3, 4], 3: [4999, 0, 1, 2, 4]}
     assert "WindowGroupLimit [path" in out._jdf.queryExecution().executedPlan().toString()  # before the seeds meet the events of a file
+
+
+def test_texts_of_common_letters_meet_in_tasks_and_few_are_passed_on(spark):
+    """Long and short texts of few letters, some with edits around the bound: what is alike is what all pairs say, and little else is compared."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    say = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.choice((3, 12, 40, 150)))).strip()
+    texts = [say() for _ in range(150)]
+    for t in texts[:60]:
+        out = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 5))):
+            at = rng.randrange(len(out) + 1)
+            out[at : at + rng.randint(0, 1)] = rng.choice(("", "x", "é"))
+        texts.append("".join(out).strip())
+    df = merge._texts(merge.comparable(spark.createDataFrame([(k, "p", t) for k, t in enumerate(dict.fromkeys(texts))], "id long, project_id string, description string")))
+    met = merge._candidates(df, df)
+    tokens = {r.description: set(r.tokens) for r in df.collect()}
+    j = lambda a, b: len(tokens[a] & tokens[b]) / len(tokens[a] | tokens[b]) if tokens[a] and tokens[b] else 0.0
+    brute = {(a, b) for a in tokens for b in tokens if j(a, b) >= 0.6 or edits(a, b) <= int(max(len(a), len(b)) * 0.15)}
+    found = merge._alike(met).where("alike").select("new_text", "old_text").collect()
+    assert {tuple(r) for r in found} == brute and len(found) == len(brute) > len(tokens) + 20
+    assert met.count() < len(tokens) ** 2 / 10
