@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -524,3 +525,35 @@ def test_texts_of_common_letters_meet_in_tasks_and_few_are_passed_on(spark):
     found = merge._alike(met).where("alike").select("new_text", "old_text").collect()
     assert {tuple(r) for r in found} == brute and len(found) == len(brute) > len(tokens) + 20
     assert met.count() < len(tokens) ** 2 / 10
+
+
+def test_components_leave_no_links_behind(spark):
+    """Components of drawn links, self links among them, and what is left in the shared folder: no more rows than nodes of all rounds."""
+    rng = random.Random(8)
+    links = [(rng.randint(0, 60), 1000 + k) for k in range(150) for _ in range(20)] + [(7000, 7000)]
+    label = {x: x for link in links for x in link}
+    for _ in range(8):
+        for x, y in links:
+            label[x] = label[y] = min(label[x], label[y])
+    before = set(os.listdir(_shared(spark)))
+    found = graph.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.label for r in found.collect()} == label and found.count() == len(label)
+    left = [f"{_shared(spark)}/{x}" for x in set(os.listdir(_shared(spark))) - before]
+    assert sum(spark.read.parquet(x).count() for x in left) < 2 * len(label) < len(set(links))
+
+
+def _shared(spark):
+    from recollect.plans import checkpoints
+
+    return checkpoints.folder(spark).removeprefix("file:")
+
+
+def test_echoes_join_sets_of_tokens_not_texts(spark, monkeypatch):
+    """Texts that differ in short words alone are one set, and the highest id of another hash is found."""
+    seen, posted = [], merge._posted
+    monkeypatch.setattr(merge, "_posted", lambda sets, least: posted(seen.append(sets) or sets, least))
+    rows = [(k, "p", "DECISION", f"Storage limit: {k % 90} boxes of hot ring") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, project_id string, event_type string, description string").withColumn("content_hash", text.content_hash(F.col("event_type"), F.col("description")))
+    df = df.withColumn("superseded_by", F.lit(None).cast("long")).withColumn("archived", F.lit(False))
+    found = {r.id: r.echo_id for r in merge.echoes(df.where("id % 2 = 1"), df.where("id % 2 = 0 or id = 299")).collect()}
+    assert found == {k: 298 if k % 90 == 299 % 90 else 299 for k in range(1, 300, 2)} and seen[0].count() == 1
