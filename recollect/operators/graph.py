@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import content_hash
-from recollect.plans.checkpoints import cut
+from recollect.plans.checkpoints import cut, dropped, stored
 
 DAMPING, ITERATIONS, CUT_EVERY = 0.85, 20, 5
 
@@ -43,21 +43,35 @@ def neighbours(edges: DataFrame, files: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label: connected nodes with the smallest of them.
 
-    Every node hangs on its smallest neighbour, then labels are followed to their own labels,
-    until none changes; each round halves the longest way at least where labels chain.
+    Every node hangs on its smallest neighbour, if that is smaller, and is followed to the root
+    of its tree; then links of roots take the place of links, so each round reads what the one
+    before left.  What a round's nodes hang on is kept, and read backwards at the end.
     """
-    both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
-    label = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).select(F.col("u").alias("node"), F.col("l").alias("label")))
-    while True:
-        # the smallest label among neighbours, then that label's own label
-        near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("label").alias("m"))
-        step = label.join(near, label["node"] == near["u"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        own = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = cut(step.join(own, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = after.withColumnRenamed("label", "new").join(label, "node").where("new <> label").limit(1).count()
-        label = after
-        if not changed:
-            return label
+    spark = links.sparkSession
+    edges = links.select(F.coalesce(a, b).alias("x"), F.coalesce(b, a).alias("y")).where("x is not null").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    edges, place = stored(edges)
+    rounds: list[DataFrame] = []
+    while not rounds or edges.limit(1).count():
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hung, at = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
+        while True:  # twice as far each time
+            own = hung.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            lower = hung.where("node <> root").join(own.where("root <> further"), "root")
+            if not lower.limit(1).count():
+                break
+            further, beyond = stored(hung.join(own, "root").select("node", F.col("further").alias("root")))
+            dropped(spark, at)
+            hung, at = further, beyond
+        rounds.append(hung)
+        ends = edges.join(hung.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(hung.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v").where("ru <> rv")
+        after, beyond = stored(ends.select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct())
+        dropped(spark, place)
+        edges, place = after, beyond
+    label = rounds.pop().withColumnRenamed("root", "label")
+    while rounds:
+        of_root = label.withColumnRenamed("node", "root")
+        label = rounds.pop().join(of_root, "root", "left").select("node", F.coalesce("label", "root").alias("label"))
+    return label
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
