@@ -11,15 +11,22 @@ of those 32 bits, where the rest is walked.  A shard passes on a star for each o
 components, not its pairs, and stars of all shards are joined by `graph.components`.
 
 `similar_groups` links texts whose sets of shingles have a Jaccard similarity of `similarity`
-or more, the shingles lower-cased as for fingerprints.  `LANES` fingerprints of every text
-(256 bits) differ in a known share of bits at that similarity; a table takes some bits of a
-lane as its key and walks the tries of equal keys.  There are as many tables as find a pair at
-the limit with probability `FOUND`, whatever the number of texts.  Where more than `RUN` texts
-share a key, each is compared with those next to it in the order of that table's bits; keys
-that a sample shows to be very frequent are twice as long, so that no task holds a large part
-of all texts.  Texts that hang together in such groups meet in other tables.  Of the pairs that 256 bits
-don't rule out a shard passes on a spanning forest of the nearest, whose texts are compared
-exactly before they link.
+or more, the shingles lower-cased as for fingerprints: all of them, in two rounds.  In the
+first, `LANES` fingerprints of every text (256 bits) differ in a known share of bits at that
+similarity; a table takes some bits of a lane as its key and walks the tries of equal keys.
+There are as many tables as find a pair at the limit with probability `FOUND`, whatever the
+number of texts.  Where more than `RUN` texts share a key, each is compared with those next to
+it in the order of that table's bits; keys that a sample shows to be very frequent are twice as
+long, so that no task holds a large part of all texts.  Of the pairs that 256 bits don't rule
+out a shard passes on a spanning forest of the nearest, whose texts are compared exactly
+before they link.
+
+The second round finds whatever the first has missed.  Two sets of that similarity share one
+of the first n - ceil(similarity * n) + 1 shingles of each, in one order of all shingles; those
+that a sample shows to be frequent come last, so lists of texts that share one are short.  Of
+a list all pairs that aren't yet in one group meet, so large groups of near copies, which the
+first round joins, cost little.  Sizes, places and counts of shingles by their last bits rule
+out what can't be similar, and the rest is compared exactly.
 
 Null and empty texts have no words and fingerprint zero, which links like any other.  A
 component of which every id is null has the id null.  Repeated rows share a fingerprint.
@@ -28,6 +35,7 @@ component of which every id is null has the id null.  Repeated rows share a fing
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -36,8 +44,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm import _text
-from recollect.llm._spark import buckets_of, cut, key_columns
+from recollect.llm import _packed, _text
+from recollect.llm._spark import buckets_of, cut, key_columns, let_go, remove, stored
 from recollect.llm.graph import components
 
 SEED = 42
@@ -53,6 +61,12 @@ LANES, FOUND, SPREAD = 4, 0.97, 2.0
 RUN = 256
 #: One text in so many is looked at for keys that very many share; those found as often are lengthened.
 SAMPLE_ONE_IN, FREQUENT = 64, 1024
+#: Shingles that so many texts of the sample hold are posted last.
+OFTEN = 4
+#: Shingles of a text are counted by their last bits, in so many bytes; and pairs of a list that are looked at in one step.
+SKETCH, PAIRS_AT_ONCE = 128, 1 << 20
+#: Texts of pairs are compared in as many rounds as keep those sent in one below this share of all distinct texts; every pair has its round.
+ROUND = 0.5
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -316,20 +330,122 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """row_id, row_hash, kept_id, kept_hash: the key of every row (`_spark.key_columns`), and that of the smallest row of its group."""
+def _hash_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    buf, offs = _text.flat(column)
+    raw, at = buf.tobytes(), offs.tolist()
+    return [np.unique(shingle_hashes(raw[x:y], shingle)) for x, y in zip(at, at[1:])]
+
+
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample hold, sorted, and how many do: at most `_packed.MOST_KEYS`, as the least number rises with the rows."""
+
+    def run(batches):
+        for batch in batches:
+            value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_hash_sets(batch.column(0), shingle)]), return_counts=True)
+            yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
+    counts = sample.mapInArrow(_text.frugal(run), "value long, n long")
+    often = cut(counts.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN))
+    rows = often.agg(F.sum("n")).first()[0] or 0
+    found = often.where(F.col("n") >= max(OFTEN, -(-rows // _packed.MOST_KEYS))).toArrow()
+    value = found.column("value").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], found.column("n").to_numpy().astype(np.int64)[order]
+
+
+def _sets(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """row_id, row_hash, fine, sig, n, sketch, posted of every text: fingerprints, hash and size of its set of shingles, counts by last bits, and the shingles it is posted under."""
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
+
+    def posted(hashes: np.ndarray) -> np.ndarray:
+        often, n = shared.value
+        few = len(hashes) - math.ceil(len(hashes) * similarity - 1e-9) + 1
+        if not len(often) or not len(hashes):
+            return hashes[:few]
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        return hashes[np.argsort(np.where(often[at] == hashes, n[at], 0), kind="stable")[:few]]
 
     def run(batches):
         lanes = np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            buf, offs = _text.flat(batch.column(0))
-            raw, at = buf.tobytes(), offs.tolist()
-            fine = np.zeros((len(at) - 1, LANES), dtype=np.uint64)
-            for k, (x, y) in enumerate(zip(at, at[1:])):
-                hashes = np.unique(shingle_hashes(raw[x:y], shingle))
+            sets = _hash_sets(batch.column(0), shingle)
+            fine = np.zeros((len(sets), LANES), dtype=np.uint64)
+            sketch = np.zeros((len(sets), SKETCH), dtype=np.uint8)
+            for k, hashes in enumerate(sets):
                 fine[k] = [majority(_text.mix(hashes + lane)) for lane in lanes] if len(hashes) else 0
-            ends = np.arange(0, fine.size + 1, LANES, dtype=np.int32)
-            yield pa.record_batch([*batch.columns[1:], pa.ListArray.from_arrays(ends, pa.array(fine.ravel().view(np.int64)))], names=["row_id", "row_hash", "fine"])
+                sketch[k] = np.minimum(np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255)
+            sig = np.array([_text.mix(h ^ np.uint64(SEED)).sum(dtype=np.uint64) for h in sets], dtype=np.uint64)
+            n = np.array([len(h) for h in sets], dtype=np.int64)
+            tokens = [posted(h) for h in sets]
+            ends = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)
+            lists = [pa.ListArray.from_arrays(np.arange(0, fine.size + 1, LANES, dtype=np.int32), pa.array(fine.ravel().view(np.int64))), pa.array(sig.view(np.int64)), pa.array(n)]
+            lists += [pa.array([x.tobytes() for x in sketch], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))]
+            yield pa.record_batch([*batch.columns[1:], *lists], names=["row_id", "row_hash", "fine", "sig", "n", "sketch", "posted"])
+
+    return texts.mapInArrow(_text.frugal(run), "row_id long, row_hash long, fine array<long>, sig long, n long, sketch binary, posted array<long>")
+
+
+def _least_shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    return np.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _met(token: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float):
+    """Pairs of nodes, smaller first, that share a token, are of different labels, and may be similar by sizes and places; some more than once."""
+    order = np.lexsort((node, label, token))
+    order = order[np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (node[order][1:] != node[order][:-1])))[: len(order)]]
+    token, node, label, n, at = (x[order] for x in (token, node, label, n, at))
+    new = token[1:] != token[:-1]
+    # each meets those of its list after all of its own label
+    end, past = (np.append(np.flatnonzero(x) + 1, len(token)) for x in (new, new | (label[1:] != label[:-1])))
+    end, past = (x[np.searchsorted(x, np.arange(len(token)), side="right")] for x in (end, past))
+    some = np.flatnonzero(end > past)
+    low, count = past[some], (end - past)[some]
+    done = np.cumsum(count)
+    at_once, start, begun = max(PAIRS_AT_ONCE, 1), 0, 0
+    while start < len(some):
+        stop = max(int(np.searchsorted(done, begun + at_once, side="right")), start + 1)
+        c = count[start:stop]
+        i = np.repeat(some[start:stop], c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[start:stop], c)
+        near = np.minimum(n[i] - at[i], n[j] - at[j]) >= _least_shared(n[i], n[j], similarity)
+        x, y = node[i[near]], node[j[near]]
+        yield np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+        start, begun = stop, done[stop - 1]
+
+
+def _others(sets: DataFrame, labelled: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of nodes of different labels that may be similar; labelled: node, label, row_id, row_hash."""
+    n_posted = sets.agg(F.sum(F.size("posted"))).first()[0] or 0
+    shards = buckets_of(sets.sparkSession, 40 * n_posted, SHARD_BYTES)
+
+    def run(batches):
+        batches = list(batches)
+        if batches:
+            rows = pa.Table.from_batches(batches)
+            for pairs in _met(*(rows.column(c).to_numpy() for c in ("token", "node", "label", "n", "at")), similarity):
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    own = sets.select("row_id", "row_hash", "n", "posted").join(labelled, ["row_id", "row_hash"])
+    posted = own.select("node", "label", F.col("n").cast("int").alias("n"), F.posexplode("posted").alias("at", "token"))
+    return posted.repartition(shards, "token").mapInArrow(_text.frugal(run), "a long, b long").distinct()
+
+
+def _links(texts: DataFrame, repeated: bool, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b of the pairs of nodes whose texts are similar; nodes: node, row, n, sketch.
+
+    What is sent for one round is let go before the next, so disk doesn't grow with the pairs.
+    """
+
+    def bound(batches):
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (4, 5))
+            both = np.minimum(s, t).astype(np.int64)
+            shared = np.where((both == 255).any(axis=1), np.minimum(n, m), both.sum(axis=1))  # 255 stands for any more
+            near = np.minimum(shared, np.minimum(n, m)) >= _least_shared(n, m, similarity)
+            yield pa.record_batch([*batch.columns[:2], pa.array(n + m)], names=["a", "b", "size"]).filter(pa.array(near))
 
     def compare(batches):
         for batch in batches:
@@ -337,21 +453,56 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
             alike = [jaccard(x or b"", y or b"", shingle) >= similarity for x, y in texts]
             yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    row_id, row_hash, _ = key_columns(documents)
+    spark = texts.sparkSession
+    end = lambda k, n, s: nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("sketch").alias(s))
+    sized = pairs.join(end("a", "n", "s"), "a").join(end("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t")
+    pairs = cut(sized.mapInArrow(_text.frugal(bound), "a long, b long, size long"))
+    del sized
+    let_go(spark)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    said = texts.join(nodes.join(named, "node").select("node", "row.*"), ["row_id", "row_hash"])
+    said, folder = stored((said.dropDuplicates(["node"]) if repeated else said).select("node", "text"))
+    let_go(spark)
+    x, y = (said.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
+    held, there = pairs.agg(F.sum("size")).first()[0] or 0, nodes.agg(F.sum("n")).first()[0] or 0
+    rounds, found = max(1, -(-held // max(1, int(there * ROUND)))), []
+    for k in range(rounds):
+        both = pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k).join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+        found.append(cut(both.mapInArrow(_text.frugal(compare), "a long, b long")))
+        del both
+        let_go(spark)
+    remove(spark, folder)
+    return reduce(DataFrame.unionByName, found)
+
+
+def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """row_id, row_hash, kept_id, kept_hash: the key of every row (`_spark.key_columns`), and that of the smallest row of its group."""
+    spark = documents.sparkSession
+    row_id, row_hash, repeated = key_columns(documents)
     texts = documents.select(F.col("text").cast("string").alias("text"), row_id.alias("row_id"), row_hash.alias("row_hash"))
-    fps = cut(texts.mapInArrow(_text.frugal(run), "row_id long, row_hash long, fine array<long>"))
+    sets, folder = stored(_sets(texts, shingle, similarity))
     least = F.min(F.struct("row_id", "row_hash"))
-    nodes = cut(fps.groupBy("fine").agg(least.alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(sets.groupBy("fine", "sig").agg(least.alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
     pairs = cut(_candidates(nodes.select("node", "fine"), nodes.count(), similarity))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    said = texts.join(nodes.join(named, "node").select("node", "row.*"), ["row_id", "row_hash"]).dropDuplicates(["node"]).select("node", "text")
-    both = pairs.join(said.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(said.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(_text.frugal(compare), "a long, b long")
+    let_go(spark)
+    links = _links(texts, repeated, nodes, pairs, shingle, similarity)
+    let_go(spark)
     label = components(links, "a", "b")
-    grouped = nodes.join(label, "node", "left").select("fine", "row", F.coalesce("label", "node").alias("label"))
+    labelled = cut(nodes.join(label, "node", "left").select("node", "row.*", F.coalesce("label", "node").alias("label")))
+    del pairs, links, label
+    pairs = cut(_others(sets, labelled, similarity))
+    let_go(spark)
+    links = _links(texts, repeated, nodes, pairs, shingle, similarity)
+    ends = [labelled.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in ("a", "b")]
+    over = components(links.join(ends[0], "a").join(ends[1], "b"), "label_a", "label_b").select(F.col("node").alias("label"), F.col("label").alias("lowest"))
+    grouped = nodes.join(labelled.select("node", "label").join(over, "label", "left"), "node").select("fine", "sig", "row", F.coalesce("lowest", "label").alias("label"))
     first = grouped.groupBy("label").agg(F.min("row").alias("kept"))
-    kept = grouped.join(first, "label").select("fine", F.col("kept.row_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash"))
-    return fps.join(kept, "fine").select("row_id", "row_hash", "kept_id", "kept_hash")
+    kept = grouped.join(first, "label").select("fine", "sig", F.col("kept.row_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash"))
+    found = cut(sets.select("row_id", "row_hash", "fine", "sig").join(kept, ["fine", "sig"]).select("row_id", "row_hash", "kept_id", "kept_hash"))
+    del pairs, links, ends, over, grouped, first, kept, nodes, labelled, sets
+    remove(spark, folder)
+    let_go(spark)
+    return found
 
 
 def one_of_each_group(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -381,6 +381,37 @@ def test_similar_groups(spark, monkeypatch, run):
     assert simhash.one_of_each_group(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [simhash.PAIRS_AT_ONCE, 3])
+def test_similar_groups_lose_no_link(spark, monkeypatch, at_once):
+    """Pairs just above the limit, many of which the tables miss, and some just below; shingles that all texts share; one group of near copies."""
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", at_once)
+    if at_once == 3:  # frequent shingles are seen
+        monkeypatch.setattr(simhash, "SAMPLE_ONE_IN", 1)
+        monkeypatch.setattr(simhash, "ROUND", 0.1)  # several rounds
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    common, texts = " ".join(word() for _ in range(12)), []
+    for _ in range(120):
+        base = [word() for _ in range(100)]
+        texts.append(base)
+        for places in ((30, 70), (20, 50, 80)):  # 86 of 106 shingles in common with the tail, or fewer
+            texts.append([word() if k in places else w for k, w in enumerate(base)])
+    base = [word() for _ in range(150)]
+    texts += [[word() if k in (rng.randrange(150), rng.randrange(150)) else w for k, w in enumerate(base)] for _ in range(60)]
+    texts = [" ".join(t) + (" " + common) * (k % 3 == 0) for k, t in enumerate(texts)] + ["", common, "One two three four five six", "one two three four five"]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    brute = list(range(len(texts)))
+    for _ in range(3):
+        for a in range(len(texts)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    low = min(brute[a], brute[b])
+                    brute = [low if x in (brute[a], brute[b]) else x for x in brute]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.row_id: r.kept_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(brute))
+    assert 100 < len(set(brute)) < len(texts) - 50
+
+
 def test_trie_pairs_match_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
