@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,10 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, codec: str | None = None) -> tuple[DataFrame, str]:
     """df as a packed table of the shared folder, and where it is; it stays until `dropped`."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.parquet(path), path
 
 
@@ -36,4 +37,10 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a stored table that nothing reads any more, and lets go of shuffles that made it."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    let_go(spark)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffles and checkpoints that nothing refers to any more; else they stay until the driver's heap fills."""
+    gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()

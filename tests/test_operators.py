@@ -232,6 +232,32 @@ def test_similar_pairs_match_brute_force(spark):
         assert best[k] == round(top, 9)
 
 
+def test_similar_pairs_of_long_sets_match_brute_force_and_sketches_rule_out_the_rest(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["w%05d" % k for k in range(3000)]
+    base = [rng.sample(words, rng.choice((100, 300, 900))) for _ in range(12)]
+    texts = []
+    for text in base:
+        texts.append(text)
+        for share in (0.02, 0.05, 0.07, 0.08, 0.09, 0.15):
+            fresh = iter(rng.sample(words, len(text)))
+            texts.append([next(fresh) if rng.random() < share else t for t in text])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + [(500 + k, t) for k, t in rows[:9]], "id int, text string")
+    sets = [set(t) for t in texts]
+    brute = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85}
+    assert len(brute) > 40
+    links = {k: sum(k in p for p in brute) for k in range(len(sets))}
+    monkeypatch.setattr(similar, "ROUND", 0.7)  # several rounds
+    monkeypatch.setattr(similar, "PAIRS_AT_ONCE", 50)
+    found = {r.id: (r.class_id, r.n_links) for r in similar.near_duplicates(df, "id", "text", 0.85).collect()}
+    assert found == {k: (k, links[k]) for k in links} | {500 + k: (k, links[k]) for k in range(9)}
+    _, classes = similar.token_classes(df, "id", "text")
+    classes = classes.select(F.col("class_id").cast("long").alias("node"), "tokens")
+    met = {(r.x, r.y) for r in similar._candidates(classes, 0.85).collect()}
+    assert {(b, a) for a, b in brute} <= met and all(a // 7 == b // 7 for a, b in met if len(sets[a]) < 800)
+
+
 # --- state and selection
 
 
