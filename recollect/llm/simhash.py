@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import chain, combinations
+from itertools import chain, combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -432,10 +432,17 @@ def _others(sets: DataFrame, labelled: DataFrame, similarity: float) -> DataFram
     return posted.repartition(shards, "token").mapInArrow(_text.frugal(run), "a long, b long").distinct()
 
 
+def _groups(held: int, there: int) -> int:
+    """Groups of texts, of which two meet in a round: pairs of two groups, 2 / groups^2 of all, are a round's share."""
+    return max(1, math.ceil(math.sqrt(2 * held / max(1.0, there * ROUND)))) if held > there * ROUND else 1
+
+
 def _links(texts: DataFrame, repeated: bool, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """a, b of the pairs of nodes whose texts are similar; nodes: node, row, n, sketch.
 
-    What is sent for one round is let go before the next, so disk doesn't grow with the pairs.
+    Texts are dealt to groups by hash, and two groups meet in a round: so a text is sent once for
+    each group, not once for each round.  What is sent for one round is let go before the next,
+    so disk doesn't grow with the pairs.
     """
 
     def bound(batches):
@@ -465,9 +472,13 @@ def _links(texts: DataFrame, repeated: bool, nodes: DataFrame, pairs: DataFrame,
     let_go(spark)
     x, y = (said.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
     held, there = pairs.agg(F.sum("size")).first()[0] or 0, nodes.agg(F.sum("n")).first()[0] or 0
-    rounds, found = max(1, -(-held // max(1, int(there * ROUND)))), []
-    for k in range(rounds):
-        both = pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k).join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+    groups, found = _groups(held, there), []
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    turned = of("a") > of("b")  # the text of the lower group comes first
+    first, second = (F.when(turned, F.col(p)).otherwise(F.col(q)) for p, q in (("b", "a"), ("a", "b")))
+    ends = pairs.select(F.col("a").alias("p"), F.col("b").alias("q"), first.alias("a"), second.alias("b"))
+    for k, m in combinations_with_replacement(range(groups), 2):
+        both = ends.where((of("a") == k) & (of("b") == m)).join(x.where(of("a") == k), "a").join(y.where(of("b") == m), "b").select("p", "q", "text_a", "text_b")
         found.append(cut(both.mapInArrow(_text.frugal(compare), "a long, b long")))
         del both
         let_go(spark)

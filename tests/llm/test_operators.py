@@ -412,6 +412,13 @@ def test_similar_groups_lose_no_link(spark, monkeypatch, at_once):
     assert 100 < len(set(brute)) < len(texts) - 50
 
 
+def test_rounds_of_links_send_a_text_once_a_group():
+    for there, held in ((1000, 0), (1000, 400), (1000, 3000), (10**6, 40 * 10**6)):
+        groups, rounds = simhash._groups(held, there), max(1, -(-held // int(there * simhash.ROUND)))
+        assert 2 * held / groups**2 <= there * simhash.ROUND or groups == 1 and held <= there * simhash.ROUND
+        assert groups + 1 <= max(2, 1.2 * rounds)  # how often a text is sent; with rounds by one end it was 2 * rounds
+
+
 def test_trie_pairs_match_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
