@@ -23,7 +23,7 @@ from recollect.functions.text import derive_subject, overlap_tokens
 from recollect.functions.weights import authority_rank
 from recollect.operators.tables import ARCHIVE_BELOW, BUMP, MOST_WEIGHT, active
 from recollect.plans.checkpoints import cut
-from recollect.schemas import CHOICE_FAMILY, EVENTS, SUPERSESSION_TYPES
+from recollect.schemas import CHOICE_FAMILY, EVENT_TYPES, EVENTS, SUPERSESSION_TYPES
 
 # Fixed values.
 DECAY = 0.92
@@ -52,45 +52,80 @@ def _texts(events: DataFrame) -> DataFrame:
     return events.withColumn("said", _name("project_id", F.coalesce(F.sha2("description", 256), F.lit(""))))
 
 
-def _once(new: DataFrame, old: DataFrame) -> DataFrame:
-    """project_id, said, description, is_new, is_old: the texts of both sides, `_texts`, each once; they are taken apart only after this."""
-    rows = lambda df, fresh: df.where("project_id is not null").select("project_id", "said", "description", F.lit(fresh).alias("fresh"))
-    return rows(new, True).union(rows(old, False)).groupBy("project_id", "said").agg(F.first("description").alias("description"), F.bool_or("fresh").alias("is_new"), (~F.bool_and("fresh")).alias("is_old"))
+def _once(new: DataFrame, old: DataFrame, kinds: tuple[Column, Column] | None = None) -> DataFrame:
+    """project_id, said, description, is_new, is_old: the texts of both sides, `_texts`, each once; they are taken apart only after this.
+
+    kinds: bits of rows, new and old; asked and own are those of a text's rows.
+    """
+    asked, own = kinds or (F.lit(0), F.lit(0))
+    rows = lambda df, fresh: df.where("project_id is not null").select("project_id", "said", "description", F.lit(fresh).alias("fresh"), (asked if fresh else F.lit(0)).alias("asked"), (F.lit(0) if fresh else own).alias("own"))
+    bits = [F.bit_or(c).alias(c) for c in ("asked", "own")] if kinds else []
+    return rows(new, True).union(rows(old, False)).groupBy("project_id", "said").agg(F.first("description").alias("description"), F.bool_or("fresh").alias("is_new"), (~F.bool_and("fresh")).alias("is_old"), *bits)
 
 
 #: Texts of a block and their characters at most; a block of new texts meets one of old ones in a task.
 BLOCK, LEAST_BLOCK, BLOCK_CHARS = 2048, 256, 4 << 20
-#: Letters of a gram, the buckets they are counted in, and the pairs that are passed on together.
-GRAM, BUCKETS, PASSED = 3, 1 << 20, 1 << 16
-#: Letters of the grams that must be found near their places, too.
-PLACED_GRAM = 4
+#: Letters of a gram, those of texts under so many letters, and the buckets of grams.
+GRAM, SHORT_GRAM, SHORT, BUCKETS = 5, 3, 48, 1 << 20
+#: Letters of the grams of short texts that must be found near their places, too, and the pairs that are passed on together.
+PLACED_GRAM, PASSED = 4, 1 << 16
 #: Letters from which on edits are counted where texts meet, not after.
 LONG = 128
+#: New texts that are multiplied at once, half as many from so many letters on, and cells and columns of a matrix.
+STRIP, HALF_STRIP_FROM, CELLS, COLUMNS = 256, 1024, 1 << 21, 1 << 15
+#: Where texts meet: all of a project, those of a type (from 0), those of like topics (from TOPICS); and texts with a topic that share such a place.
+ALL, TOPICS, TOLD = -1, 64, 512
+#: Types and one for all others.
+MOST_KINDS = len(EVENT_TYPES) + 1
+
 
+def _bits(types: tuple[str, ...]) -> Column:
+    """A bit for each type, one more for all others."""
+    return F.coalesce(*[F.when(F.col("event_type") == t, F.lit(1 << k)) for k, t in enumerate(types)], F.when(F.col("event_type").isNotNull(), F.lit(1 << len(types))), F.lit(0))
 
-def _candidates(new: DataFrame, old: DataFrame) -> DataFrame:
+
+def _candidates(new: DataFrame, old: DataFrame, kinds: tuple[Column, Column] | None = None, family: int = 0) -> DataFrame:
     """Pairs of texts of a project that may be alike: none that is alike is missing.
 
     Both sides are `_texts`.  Rows with equal texts are one before anything meets, so what is
     said often costs what is said once.  With new_said and old_said go project_id, both
     descriptions, their Jaccard similarity `shared`, and whether they tell one topic.  Blocks of
-    texts meet, not texts: a task counts what each pair has in common and passes a pair on if
-    its tokens or topic say that it is alike, or its grams that the edit bound may hold.
+    texts meet, not texts: a task bounds what each pair has in common by products of matrices
+    and passes a pair on if its tokens or topic say that it is alike, or its grams that the edit
+    bound may hold.
+
+    kinds: bits of new and old rows; only pairs with a bit in common are asked for, and pairs of
+    one topic that both have a bit of `family`.  Texts then meet by bit, and by topic, unless so
+    many have several bits that meeting at once is less work.
     """
     sides = F.explode(F.array_compact(F.array(F.when(F.col("is_new"), True), F.when(F.col("is_old"), False)))).alias("fresh")
-    both = cut(comparable(_once(new, old)).withColumn("plain", F.lower(F.trim("description")))).select("project_id", "said", "description", "plain", "tokens", "topic", sides)
+    both = cut(comparable(_once(new, old, kinds)).withColumn("plain", F.lower(F.trim("description"))))
+    mask = F.when(F.col("fresh"), F.col("asked")).otherwise(F.col("own")) if kinds else F.lit(0)
+    both = both.select("*", sides).withColumn("mask", mask).drop("is_new", "is_old", "asked", "own")
+    places = [F.lit(ALL)]
+    if kinds:
+        has = lambda bits: F.col("mask").bitwiseAND(F.lit(bits)) != 0
+        told = (F.col("topic") != "") & has(family)
+        both = both.join(both.groupBy("project_id").agg(F.greatest(F.lit(1), F.ceil(F.count_if(told) / TOLD)).alias("buckets")), "project_id")
+        places += [F.when(has(1 << k), F.lit(k)) for k in range(MOST_KINDS)] + [F.when(told, F.lit(TOPICS) + F.pmod(F.xxhash64("topic"), F.col("buckets")).cast("int"))]
+    both = both.withColumn("place", F.explode(F.array_compact(F.array(*places)))).drop("buckets")
     side = lambda fresh, c: F.coalesce(F.sum(F.when(F.col("fresh") == fresh, c)), F.lit(0))
-    block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), F.lit(both.count() // 32)))
+    block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), F.lit(both.where(F.col("place") == ALL).count() // 32)))
     n_blocks = lambda fresh: F.greatest(F.ceil(side(fresh, F.lit(1)) / block), F.ceil(side(fresh, F.char_length("description")) / BLOCK_CHARS)).cast("int")
-    sizes = cut(both.groupBy("project_id").agg(n_blocks(True).alias("nb"), n_blocks(False).alias("ob")).where("nb > 0 and ob > 0"))
+    work = (side(True, F.lit(1)) * side(False, F.lit(1))).alias("work")
+    sizes = cut(both.groupBy("project_id", "place").agg(n_blocks(True).alias("nb"), n_blocks(False).alias("ob"), work).where("nb > 0 and ob > 0"))
+    if kinds:
+        least = sizes.groupBy("project_id").agg((F.sum(F.when(F.col("place") == ALL, F.col("work"))) <= F.coalesce(F.sum(F.when(F.col("place") != ALL, F.col("work"))), F.lit(0))).alias("at_once"))
+        sizes = sizes.join(least, "project_id").where((F.col("place") == ALL) == F.col("at_once"))
     n_tasks = sizes.agg(F.sum(F.col("nb") * F.col("ob"))).first()[0] or 1
     own = F.pmod(F.xxhash64("said"), F.when(F.col("fresh"), F.col("nb")).otherwise(F.col("ob"))).cast("int")
     across = F.explode(F.sequence(F.lit(0), F.when(F.col("fresh"), F.col("ob")).otherwise(F.col("nb")) - 1))
-    placed = both.join(sizes, "project_id").withColumn("own", own).withColumn("across", across)
+    placed = both.join(sizes, ["project_id", "place"]).withColumn("own", own).withColumn("across", across)
     placed = placed.withColumn("i", F.when(F.col("fresh"), F.col("own")).otherwise(F.col("across"))).withColumn("j", F.when(F.col("fresh"), F.col("across")).otherwise(F.col("own")))
-    placed = placed.select("project_id", "i", "j", "said", "description", "plain", "tokens", "topic", "fresh").repartition(min(4 * n_tasks, 8192), "project_id", "i", "j")
+    keys = ["project_id", "place", "i", "j"]
+    placed = placed.select(*keys, "said", "description", "plain", "tokens", "topic", "mask", "fresh").repartition(min(4 * n_tasks, 8192), *keys)
     kind = both.schema["project_id"].dataType.simpleString()
-    return placed.groupBy("project_id", "i", "j").applyInArrow(_meet, f"project_id {kind}, new_said binary, old_said binary, new_text string, old_text string, shared double, one_topic boolean")
+    return placed.groupBy(*keys).applyInArrow(_meet, f"project_id {kind}, new_said binary, old_said binary, new_text string, old_text string, shared double, one_topic boolean")
 
 
 def _alike(met: DataFrame) -> DataFrame:
@@ -102,23 +137,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """`_candidates` of one block of new texts and one of old ones."""
     texts = pa.Table.from_batches(batches).combine_chunks()
     length = pa.compute.fill_null(pa.compute.utf8_length(texts.column("plain")), -1).to_numpy()
-    texts, length = texts.take(pa.array(by := np.argsort(length, kind="stable"))), length[by]  # old texts of like length are neighbours
+    texts, length = texts.take(pa.array(by := np.argsort(length, kind="stable"))), length[by]  # texts of like length are neighbours
     fresh = texts.column("fresh").to_numpy()
     new, old = np.flatnonzero(fresh), np.flatnonzero(~fresh)
     if not len(new) or not len(old):
         return
+    place, mask = texts.column("place")[0].as_py(), texts.column("mask").to_numpy()
     lists = texts.column("tokens").combine_chunks()
     size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy().astype(np.int64)
     codes = lists.flatten().dictionary_encode()
-    token, n_tokens = codes.indices.to_numpy().astype(np.int64), len(codes.dictionary)
+    tokens = _Items(codes.indices.to_numpy().astype(np.int64), size)
+    marked, buckets = np.zeros(len(codes.dictionary), dtype=bool), np.zeros(BUCKETS, dtype=bool)
     plain = texts.column("plain").to_pylist()
     letters = np.frombuffer("".join(t or "" for t in plain).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    gram, n_grams = _grams(letters, np.maximum(length, 0))
-    placed = _Placed(letters, np.maximum(length, 0), old)
+    few = int(np.searchsorted(length, SHORT / (1 - SAME_EDITS) + 2))  # what short texts may be alike with
+    grams = {k: _Items(*_grams(letters[: int(n.sum())], n, k)) for k, n in ((SHORT_GRAM, np.maximum(length[:few], 0)), (GRAM, np.maximum(length, 0)))} if place < TOPICS else {}
+    placed = {SHORT_GRAM: _Placed(letters[: int(np.maximum(length[:few], 0).sum())], np.maximum(length[:few], 0), PLACED_GRAM), GRAM: _Placed(letters, np.maximum(length, 0), GRAM)} if grams else {}
     topic = pa.compute.fill_null(texts.column("topic"), "").combine_chunks().dictionary_encode()
     topic, untold = topic.indices.to_numpy(), topic.dictionary.index("").as_py()
     columns = [texts.column(c).combine_chunks() for c in ("project_id", "said", "description")]
-    common = [_Common(token, size, old, n_tokens), _Common(gram, n_grams, old, BUCKETS)]
     at, m, s = length[old], size[old], topic[old]
     held, n_held = [], 0
 
@@ -127,58 +164,120 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [c.take(pa.array(k)) for c in columns[1:] for k in (i, j)]
         return pa.record_batch([columns[0].take(pa.array(i)), *ends, pa.array(shared), pa.array(one_topic)], names=["project_id", "new_said", "old_said", "new_text", "old_text", "shared", "one_topic"])
 
-    for i in new.tolist():
-        both = common[0].of(i, 0, len(old))
-        shared = both / np.maximum(size[i] + m - both, 1)
-        one_topic = (s == topic[i]) & (topic[i] != untold) & (shared >= SUBJECT_JACCARD)
-        some = (shared >= SAME_JACCARD) | one_topic
-        if length[i] >= 0:
-            low, high = np.searchsorted(at, length[i] - int(length[i] * SAME_EDITS) - 1), np.searchsorted(at, length[i] / (1 - SAME_EDITS) + 1, side="right")
-            low = max(low, np.searchsorted(at, 0))
-            longest = np.maximum(at[low:high], length[i])
-            bound = np.floor(longest * SAME_EDITS).astype(np.int64)
-            # an edit touches so many grams as one has letters, and moves others by one
-            near = np.flatnonzero((np.abs(at[low:high] - length[i]) <= bound) & (common[1].of(i, low, high) >= longest - GRAM + 1 - GRAM * bound) & ~some[low:high])
-            near = near[placed.enough(i, low + near, bound[near])]
-            if length[i] > LONG and len(near):  # a pair of long texts costs more to compare than all before
-                holds = _at_most(plain[i])
-                near = near[[holds(plain[old[low + k]], int(bound[k])) for k in near.tolist()]]
-            some[low + near] = True
-        hit = np.flatnonzero(some)
-        while len(hit):
-            part, hit = hit[:PASSED], hit[PASSED:]
-            held.append((np.full(len(part), i), old[part], shared[part], one_topic[part]))
-            n_held += len(part)
-            if n_held >= PASSED:
-                yield passed()
-                held, n_held = [], 0
+    def by_words(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs (row, old one) as numbers whose tokens or topic may make them alike."""
+        a, t, width = size[rows][:, None], topic[rows][:, None], _width(4 * int(size[rows].max()))
+        mine, told = tokens.counted(rows, width), (t != untold).any()
+        for low in range(0, len(old), step := CELLS // width):
+            part = slice(low, low + step)
+            most = mine @ tokens.counted(old[part], width).T * 1.01  # more than rounding takes
+            some = (most >= SAME_JACCARD / (1 + SAME_JACCARD) * (a + m[part])) & (most > 0) if place < TOPICS else np.zeros(most.shape, dtype=bool)
+            if told:
+                some |= (t == s[part]) & (t != untold) & (most >= SUBJECT_JACCARD / (1 + SUBJECT_JACCARD) * (a + m[part]))
+            r, c = np.nonzero(some)
+            yield r * len(old) + low + c
+
+    gram_of = lambda i: SHORT_GRAM if length[i] < SHORT else GRAM
+
+    def by_letters(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs (row, old one) as numbers that the edit bound may hold: an edit touches so many grams as one has letters."""
+        n, k = length[rows][:, None], gram_of(rows[0])
+        first = max(np.searchsorted(at, n[0, 0] - int(n[0, 0] * SAME_EDITS) - 1), np.searchsorted(at, 0))
+        last = np.searchsorted(at, n[-1, 0] / (1 - SAME_EDITS) + 1, side="right")
+        width = _width(16 * int(n[-1, 0]))
+        mine = grams[k].counted(rows, width)
+        for low in range(first, last, step := CELLS // width):
+            part = slice(low, min(low + step, last))
+            most = mine @ grams[k].counted(old[part], width).T * 1.01
+            longest = np.maximum(at[part], n)
+            bound = np.floor(longest * SAME_EDITS)
+            r, c = np.nonzero((np.abs(at[part] - n) <= bound) & (most >= longest - k + 1 - k * bound))
+            yield r * len(old) + low + c
+
+    for rows in _strips(new, length):
+        words = np.concatenate(list(by_words(rows)))
+        edits = np.concatenate([words[:0], *by_letters(rows)]) if place < TOPICS and length[rows[0]] >= 0 else words[:0]
+        pairs = np.union1d(words, edits)
+        r, c = pairs // len(old), pairs % len(old)
+        if place != ALL:  # a pair of several types meets once, by the first
+            common = mask[rows[r]] & mask[old[c]]
+            kept = common & -common == 1 << place if place < TOPICS else common == 0
+            pairs, r, c = pairs[kept], r[kept], c[kept]
+        few_edits = np.isin(pairs, edits, assume_unique=True)
+        starts = np.flatnonzero(np.diff(r, prepend=-1))
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(r)]):
+            i, j = rows[r[low]], c[low:high]
+            both = tokens.common(i, old[j], marked)
+            shared = both / np.maximum(size[i] + m[j] - both, 1)
+            one_topic = (s[j] == topic[i]) & (topic[i] != untold) & (shared >= SUBJECT_JACCARD)
+            some = (shared >= SAME_JACCARD) | one_topic if place < TOPICS else one_topic
+            near = np.flatnonzero(few_edits[low:high] & ~some)
+            if len(near):
+                k, longest = gram_of(i), np.maximum(at[j], length[i])
+                bound = np.floor(longest * SAME_EDITS).astype(np.int64)
+                near = near[grams[k].common(i, old[j[near]], buckets) >= (longest - k + 1 - k * bound)[near]]
+                near = near[placed[k].enough(i, old[j[near]], bound[near])]
+                if length[i] > LONG and len(near):  # a pair of long texts costs more to compare than all before
+                    holds = _at_most(plain[i])
+                    near = near[[holds(plain[old[j[x]]], int(bound[x])) for x in near.tolist()]]
+                some[near] = True
+            hit = np.flatnonzero(some)
+            while len(hit):
+                part, hit = hit[:PASSED], hit[PASSED:]
+                held.append((np.full(len(part), i), old[j[part]], shared[part], one_topic[part]))
+                n_held += len(part)
+                if n_held >= PASSED:
+                    yield passed()
+                    held, n_held = [], 0
     if held:
         yield passed()
 
 
-class _Common:
-    """How many items (small integers, those of a row side by side) a row shares with old ones."""
+def _strips(rows: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows by length, so many that are multiplied at once: without a text, short, and others."""
+    ends = np.searchsorted(length[rows], (0, SHORT))
+    for part in np.split(rows, ends):
+        while len(part):
+            step = STRIP if length[part[:STRIP][-1]] < HALF_STRIP_FROM else STRIP // 2
+            yield part[:step]
+            part = part[step:]
 
-    def __init__(self, items: np.ndarray, size: np.ndarray, old: np.ndarray, n_items: int):
-        self.items, self.ends, self.size = items, np.cumsum(size), size
-        mine = np.repeat(np.isin(np.arange(len(size)), old), size)
-        self.flat, self.at = items[mine], np.concatenate(([0], np.cumsum(size[old])))
-        self.marked = np.zeros(n_items, dtype=bool)
 
-    def of(self, i: int, low: int, high: int) -> np.ndarray:
-        """For row i and the old rows from low to before high; never too few, and exact where items have a number each."""
-        own = self.items[self.ends[i] - self.size[i] : self.ends[i]]
-        self.marked[own] = True
-        found = np.concatenate(([0], np.cumsum(self.marked[self.flat[self.at[low] : self.at[high]]])))
-        self.marked[own] = False
-        return np.diff(found[self.at[low : high + 1] - self.at[low]])
+def _width(n: int) -> int:
+    """Columns that n items are dealt to: a power of two."""
+    return min(max(128, 1 << max(n - 1, 0).bit_length()), COLUMNS)
+
+
+class _Items:
+    """Items (small integers, those of a row side by side) of rows."""
+
+    def __init__(self, items: np.ndarray, size: np.ndarray):
+        self.items, self.size, self.start = items, size, np.cumsum(size) - size
+
+    def _of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.size[rows]
+        ends = np.cumsum(n)
+        return self.items[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[rows] - (ends - n), n)], n
+
+    def counted(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """How many items of each row fall into each of `width` columns: products of two rows are no less than what they share."""
+        items, n = self._of(rows)
+        return np.bincount(np.repeat(np.arange(len(rows)) * width, n) + (items & (width - 1)), minlength=len(rows) * width).reshape(len(rows), width).astype(np.float32)
+
+    def common(self, i: int, rows: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """How many items row i shares with each of the rows; marked: a false for each item there is."""
+        own = self.items[self.start[i] : self.start[i] + self.size[i]]
+        marked[own] = True
+        items, n = self._of(rows)
+        found, ends = np.concatenate(([0], np.cumsum(marked[items]))), np.cumsum(n)
+        marked[own] = False
+        return found[ends] - found[ends - n]
 
 
 def _at_most(text: str) -> Callable[[str, int], bool]:
     """Whether a text is within so many edits of this one: columns of the table as bits, left once too many edits are certain."""
-    where, m = {}, len(text)
-    for k, letter in enumerate(text):
-        where[letter] = where.get(letter, 0) | (1 << k)
+    letters, m = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), len(text)
+    where = {chr(x): int.from_bytes(np.packbits(letters == x, bitorder="little").tobytes(), "little") for x in np.unique(letters).tolist()}
     full, top = (1 << m) - 1, 1 << (m - 1)
 
     def holds(other: str, bound: int) -> bool:
@@ -213,40 +312,41 @@ def _in_order(letters: np.ndarray, length: np.ndarray, k: int) -> tuple[np.ndarr
     return gram, place, n
 
 
-def _grams(letters: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of each text's grams, the second occurrence of a gram unlike the first, and how many a text has."""
-    gram, _, n = _in_order(letters, length, GRAM)
-    row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((gram, row))
-    gram, place = gram[order], np.arange(len(order))
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+def _grams(letters: np.ndarray, length: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each text's k-letter grams, the second occurrence of a gram unlike the first, and how many a text has."""
+    gram, _, n = _in_order(letters, length, k)
+    bits = np.uint64(max(1, len(n).bit_length()))
+    gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)  # the last letters count in high bits, too
+    gram = (np.repeat(np.arange(len(n), dtype=np.uint64), n) << (np.uint64(64) - bits)) | (gram >> bits)
+    gram.sort()  # within each text
+    place, first = np.arange(len(gram)), np.ones(len(gram), dtype=bool)
+    first[1:] = gram[1:] != gram[:-1]
     again = place - np.maximum.accumulate(np.where(first, place, 0))
-    return _mixed(gram + again.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)), n
+    return _mixed((gram << bits) + again.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)), n
 
 
 class _Placed:
     """Grams of texts with their places: those that edits leave are found again, moved by no more than there are edits."""
 
-    def __init__(self, letters: np.ndarray, length: np.ndarray, old: np.ndarray):
-        self.gram, self.place, self.n = _in_order(letters, length, PLACED_GRAM)
-        self.start, self.old, self.marked = np.cumsum(self.n) - self.n, old, np.zeros(BUCKETS, dtype=bool)
+    def __init__(self, letters: np.ndarray, length: np.ndarray, k: int):
+        self.gram, self.place, self.n = _in_order(letters, length, k)
+        self.k, self.start, self.marked = k, np.cumsum(self.n) - self.n, np.zeros(BUCKETS, dtype=bool)
 
-    def enough(self, i: int, which: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """Whether the old rows at `which` hold so many grams of row i that `bound` edits may part them."""
-        if not len(which):
+    def enough(self, i: int, row: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether the rows hold so many grams of row i that `bound` edits may part them."""
+        if not len(row):
             return np.zeros(0, dtype=bool)
         width = max(1, (int(bound.max()) + 1) // 2)
         salt = np.uint64(0xD6E8FEB86659FD93)
         own = slice(self.start[i], self.start[i] + self.n[i])
         for step in range(-2, 3):
             self.marked[_mixed(self.gram[own] + (self.place[own] // width + step).astype(np.uint64) * salt)] = True
-        row, n = self.old[which], self.n[self.old[which]]
+        n = self.n[row]
         ends = np.cumsum(n)
         at = np.arange(ends[-1]) + np.repeat(self.start[row] - (ends - n), n)
         found = np.concatenate(([0], np.cumsum(self.marked[_mixed(self.gram[at] + (self.place[at] // width).astype(np.uint64) * salt)])))
         self.marked[:] = False
-        return found[ends] - found[ends - n] >= n - PLACED_GRAM * bound
+        return found[ends] - found[ends - n] >= n - self.k * bound
 
 
 def _posted(sets: DataFrame, least: float) -> DataFrame:
@@ -290,6 +390,11 @@ def echoes(new: DataFrame, old: DataFrame) -> DataFrame:
     met = left.join(right, ["project_id", "key"]).select("new_said", "old_said").distinct()
     whole = met.join(ns.select(F.col("said").alias("new_said"), F.col("tokens").alias("x")), "new_said").join(os.select(F.col("said").alias("old_said"), F.col("tokens").alias("y")), "old_said")
     met = whole.select("new_said", "old_said", jaccard(F.col("x"), F.col("y")).alias("j")).where(F.col("j") >= ECHO_JACCARD)
+    return _restated(n, o, met)
+
+
+def _restated(n: DataFrame, o: DataFrame, met: DataFrame) -> DataFrame:
+    """`echoes` of events with `said` by the pairs met (new_said, old_said, j)."""
     asked = n.select(F.col("said").alias("new_said"), "event_type", F.col("content_hash").alias("hn")).distinct()
     last = o.groupBy(F.col("said").alias("old_said"), "event_type", F.col("content_hash").alias("ho")).agg(F.max("id").alias("echo_id"))
     last = last.withColumn("place", F.row_number().over(Window.partitionBy("old_said", "event_type").orderBy(F.desc("echo_id"), "ho"))).where("place <= 2")
@@ -298,9 +403,17 @@ def echoes(new: DataFrame, old: DataFrame) -> DataFrame:
     return ids.join(best, ["new_said", "event_type", "hn"]).select("id", "echo_id")
 
 
-def superseded(new: DataFrame, old: DataFrame, judge: Callable[[Column, Column], Column] | None = None, threshold: float = 0.5) -> DataFrame:
+def _met(new: DataFrame, old: DataFrame) -> DataFrame:
+    """`_candidates` of `_texts` that are alike: of events of one type, or of one topic and two types of choice."""
+    bits = _bits(EVENT_TYPES)
+    return _alike(_candidates(new, old, (bits, bits), sum(1 << EVENT_TYPES.index(t) for t in CHOICE_FAMILY))).where("alike")
+
+
+def superseded(new: DataFrame, old: DataFrame, judge: Callable[[Column, Column], Column] | None = None, threshold: float = 0.5, met: DataFrame | None = None) -> DataFrame:
     """old_id, superseded_by: active events that new ones replace, each by the first new one (by id).
 
+    met: `_met` of these texts or more, if it is at hand.
+
     judge: any pandas UDF or expression of two descriptions (new, old) that says how likely
     one replaces the other; what is alike must then also reach the threshold.
 
@@ -310,7 +423,7 @@ def superseded(new: DataFrame, old: DataFrame, judge: Callable[[Column, Column],
     kinds = ["said", "event_type", "content_hash", "rank"]
     ranked = lambda df: _texts(df).withColumn("rank", authority_rank(F.col("authority")))
     n, o = ranked(new.where(F.col("event_type").isin(*SUPERSESSION_TYPES))), ranked(active(old))
-    met = _alike(_candidates(n, o)).where("alike")
+    met = _met(n, o) if met is None else met
     if judge is not None:  # after everything cheaper
         met = met.where(judge(F.col("new_text"), F.col("old_text")) >= threshold)
     met = met.select("new_said", "old_said", "project_id", "alike", "one_topic")
@@ -397,7 +510,9 @@ def duplicates_across_types(events: DataFrame) -> DataFrame:
     """
     c = _texts(active(events).where(F.col("event_type").isin(*PRIORITY)))
     rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("event_type")]
-    alike = _alike(_candidates(c, c)).where("alike").select("new_said", "old_said")
+    own = _bits(tuple(sorted(PRIORITY, key=PRIORITY.get)))
+    asked = F.lit((1 << len(PRIORITY)) - 1).bitwiseAND(-F.lit(2) * own)  # all that are outranked
+    alike = _alike(_candidates(c, c, (asked, own))).where("alike").select("new_said", "old_said")
     first = c.groupBy("said", rank.alias("rank")).agg(F.min("id").alias("id"))
     n = first.select(F.col("said").alias("new_said"), F.col("rank").alias("nr"), F.col("id").alias("new_id"))
     o = first.select(F.col("said").alias("old_said"), F.col("rank").alias("orank"))
@@ -435,7 +550,10 @@ def merge_sets(state: DataFrame, batch: DataFrame) -> DataFrame:
     b = batch.withColumn("_n", first)
     again = b.join(known, ["project_id", "content_hash"]).select("canon", (F.col("session_id") != F.col("canon_session")).alias("elsewhere"), F.col("evidence_id").alias("ev"), F.lit(True).alias("revives"))
     fresh = cut(b.where("_n = 1").drop("_n").join(known.select("project_id", "content_hash"), ["project_id", "content_hash"], "left_anti").select(*columns))
-    echo = cut(echoes(fresh, state))
+    # all that echoes or replaces is found at once; what is archived may be revived
+    met = cut(_met(_texts(fresh), _texts(state.where("superseded_by is null"))).select("project_id", "new_said", "old_said", "shared", "alike", "one_topic"))
+    heard = lambda df: _texts(df.where("project_id is not null and content_hash is not null"))
+    echo = cut(_restated(heard(fresh), heard(active(state)), met.where(F.col("shared") >= ECHO_JACCARD).select("new_said", "old_said", F.col("shared").alias("j"))))
     restated = fresh.join(echo, "id").join(state.select(F.col("id").alias("echo_id"), F.col("session_id").alias("canon_session")), "echo_id")
     folded = restated.select(F.col("echo_id").alias("canon"), (F.col("session_id") != F.col("canon_session")).alias("elsewhere"), F.col("evidence_id").alias("ev"), F.lit(False).alias("revives"))
     bumps = again.unionByName(folded).groupBy("canon").agg(F.count_if("elsewhere").alias("times"), F.first("ev", ignorenulls=True).alias("ev"), F.max("revives").alias("revives"))
@@ -457,7 +575,7 @@ def merge_sets(state: DataFrame, batch: DataFrame) -> DataFrame:
         ]
     )
     bumped, inserted = cut(bumped), cut(inserted)
-    gone = superseded(inserted, bumped).withColumnRenamed("superseded_by", "_by")
+    gone = superseded(inserted, bumped, met=met).withColumnRenamed("superseded_by", "_by")
     after = bumped.unionByName(inserted)
     after = after.join(gone, after["id"] == gone["old_id"], "left").withColumn("superseded_by", F.coalesce("superseded_by", "_by")).select(*columns)
     after = cut(after)

@@ -18,12 +18,15 @@ def millis(column: str) -> Column:
     return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} AS timestamp_ntz))")
 
 
-def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memory_events(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """conversations as events: a turn each, its conversation the session and the evidence, five projects.
 
-    The topic of a choice is its two alphabetically first content words.
+    The topic of a choice is its two alphabetically first content words.  dealt: rows are spread
+    over tasks before any text is worked on, as a table in one file is read by few.
     """
     c = table(spark, sf_dir, "conversations")
+    if dealt:
+        c = c.repartition("conv_id", "turn")
     kind = F.element_at(F.array(*[F.lit(t) for t in EVENT_TYPES]), ((F.col("conv_id") + F.col("turn")) % len(EVENT_TYPES) + 1).cast("int"))
     key = F.array_join(F.slice(F.array_sort(overlap_tokens(F.col("text"))), 1, 2), " ")
     ident = F.col("conv_id") * 1000 + F.col("turn")

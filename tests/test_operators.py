@@ -583,3 +583,47 @@ def test_echoes_join_sets_of_tokens_not_texts(spark, monkeypatch):
     df = df.withColumn("superseded_by", F.lit(None).cast("long")).withColumn("archived", F.lit(False))
     found = {r.id: r.echo_id for r in merge.echoes(df.where("id % 2 = 1"), df.where("id % 2 = 0 or id = 299")).collect()}
     assert found == {k: 298 if k % 90 == 299 % 90 else 299 for k in range(1, 300, 2)} and seen[0].count() == 1
+
+
+def test_texts_meet_by_type_and_by_topic_of_choice(spark):
+    """Texts of one type each: only pairs that a type or a topic of choice asks for are passed on, each once, and none is missing."""
+    rng = random.Random(11)
+    kinds = ("DECISION", "CONSTRAINT_HARD", "CONSTRAINT_SOFT", "APPROACH_ABANDONED", "THREAD_OPEN", "OTHER")
+    say = lambda k: rng.choice(("We will use {0} for caching of {1}", "Never use {0} with {1} boxes", "{0} {1} {0} again")).format(f"tin{k % 7}", f"ring{k % 5}") + f" case{k}"
+    rows = [(k, "p", k % 50, rng.choice(kinds), say(k), "user_stated", k % 9) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, project_id string, created_at long, event_type string, description string, authority string, evidence_id long")
+    df = merge.comparable(df.withColumn("content_hash", text.content_hash(F.col("event_type"), F.col("description"))).withColumn("superseded_by", F.lit(None).cast("long")).withColumn("archived", F.lit(False))).cache()
+    n, o = (lambda c: F.col(f"n.{c}")), (lambda c: F.col(f"o.{c}"))
+    one_topic = (n("topic") != "") & (n("topic") == o("topic")) & (jaccard(n("tokens"), o("tokens")) >= 0.3)
+    family = n("event_type").isin(*CHOICE_FAMILY) & o("event_type").isin(*CHOICE_FAMILY)
+    hit = F.when(n("event_type") == o("event_type"), merge.similar("n", "o")).otherwise(family & one_topic)
+    plain = _all_pairs(df, "id % 2 = 0", "id % 2 = 1").where(hit).select("n.description", "o.description")
+    met = merge._met(merge._texts(df.where("id % 2 = 0")), merge._texts(df.where("id % 2 = 1")))
+    found = [tuple(r) for r in met.select("new_text", "old_text").collect()]
+    assert len(found) > 100 and sorted(found) == sorted(map(tuple, plain.collect()))
+
+
+def test_long_texts_of_common_words_are_seldom_compared_letter_by_letter(monkeypatch):
+    """Drawn texts of few syllables share most short grams; long grams rule them out, and edited ones are found."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    parts = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ing", "ion", "ble", "ly", "wh", "sh")
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(170)) for _ in range(60)]
+    edited = []
+    for t in texts[:8]:
+        out = list(t)
+        for _ in range(len(t) // 10):
+            out[rng.randrange(len(out))] = rng.choice("xyz")
+        edited.append("".join(out))
+    all_texts, compared, at_most = texts + edited, [], merge._at_most
+
+    def counted(text):
+        holds = at_most(text)
+        return lambda other, bound: compared.append(other) or holds(other, bound)
+
+    monkeypatch.setattr(merge, "_at_most", counted)
+    k = len(all_texts)
+    block = pa.table({"project_id": ["p"] * k, "place": pa.array([merge.ALL] * k, pa.int32()), "said": [t.encode() for t in all_texts], "description": all_texts, "plain": all_texts, "tokens": pa.array([[t] for t in all_texts], pa.list_(pa.string())), "topic": [""] * k, "mask": pa.array([0] * k, pa.int32()), "fresh": [x >= len(texts) for x in range(k)]})
+    found = {(r["new_text"], r["old_text"]) for b in merge._meet(iter(block.to_batches())) for r in b.to_pylist()}
+    assert found == set(zip(edited, texts)) and len(compared) <= 2 * len(edited)
