@@ -579,8 +579,9 @@ def merge_sets(state: DataFrame, batch: DataFrame) -> DataFrame:
     after = bumped.unionByName(inserted)
     after = after.join(gone, after["id"] == gone["old_id"], "left").withColumn("superseded_by", F.coalesce("superseded_by", "_by")).select(*columns)
     after = cut(after)
-    lower = duplicates_across_types(after).withColumnRenamed("superseded_by", "_by")
-    lower = lower.join(inserted.select(F.col("id").alias("_i")), (F.col("old_id") == F.col("_i")) | (F.col("_by") == F.col("_i")), "left_semi")
+    lower = cut(duplicates_across_types(after).withColumnRenamed("superseded_by", "_by"))
+    touched = lambda c: lower.join(inserted.select(F.col("id").alias(c)), c, "left_semi").select("old_id", "_by")
+    lower = touched("old_id").union(touched("_by")).distinct()  # either end is new
     return after.join(lower, after["id"] == lower["old_id"], "left").withColumn("superseded_by", F.coalesce("superseded_by", "_by")).select(*columns)
 
 
